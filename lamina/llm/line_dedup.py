@@ -66,7 +66,8 @@ def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
     lost = stored(repeated_lines(own.select("_row", "doc_id", "text"), words)).withColumnRenamed("_row", "_own").withColumnRenamed("_lost", "_which")
     kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col("_which"))
     text = F.when(F.col("_which").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(_lines(F.col("text")), k)), "\n"))
-    joined = own.join(lost, F.col("_row") == F.col("_own"), "left")
+    # The plan for large tables, whatever the size: what is lost grows with the documents and isn't broadcast.
+    joined = own.join(lost.hint("merge"), F.col("_row") == F.col("_own"), "left")
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_which"), F.lit(0)).alias("_lost"))
 
 
