@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
@@ -28,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+def sql_query(name: str, sql: str, spark_sql: str | None = None) -> None:
+    """A query of the SQL surface: the text runs as it is; spark_sql: where dialects differ."""
+    text = spark_sql or sql
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            if re.search(rf"\b{t}\b", text):
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+        return spark.sql(text)
+
+    query(name, sql)(run)
