@@ -112,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those whose signatures agree well enough."""
     left, right = (marks.select(F.col("node").alias(f"_{c}"), F.col("rows").alias(f"_r{c}")) for c in "ab")
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b"))
+    both = pairs.join(left.hint("merge"), F.col("a") == F.col("_a")).join(right.hint("merge"), F.col("b") == F.col("_b"))
 
     @F.pandas_udf("boolean")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -127,7 +127,7 @@ def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b), those that are similar enough, by the whole texts (node, text)."""
     left, right = (texts.select(F.col("node").alias(f"_{c}"), F.col("text").alias(f"_t{c}")) for c in "ab")
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
+    both = pairs.join(left.hint("merge"), F.col("a") == F.col("_a")).join(right.hint("merge"), F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
 
     def run(batches):
         kept: dict[int, tuple] = {}
@@ -188,10 +188,10 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = stored(reps.select("key", F.col("_least._row").alias("node"), F.col("_least.doc_id").alias("doc_id"), "copies", "bands", "rows"))
     member = reps.select("node", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(apart(F.col("bucket")).alias("_key"), F.col("bucket").alias("_b"), "size")
-    member = stored(member.withColumn("_own", apart(F.col("bucket"))).join(sizes, (F.col("_own") == F.col("_key")) & (F.col("bucket") == F.col("_b"))).select("node", "bucket", "size"))
+    member = stored(member.withColumn("_own", apart(F.col("bucket"))).join(sizes.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("bucket") == F.col("_b"))).select("node", "bucket", "size"))
     mates = member.groupBy("node").agg(F.sum("size").alias("mates"))
     active = stored(member.join(mates, "node").select("node", "bucket", F.struct(-F.col("mates"), F.xxhash64("node"), "node").alias("rank"), F.col("node").alias("label")))
-    texts = stored(docs.select(F.col("_row").alias("node"), "text").join(mates.select("node"), "node"))
+    texts = stored(docs.select(F.col("_row").alias("node"), "text").join(mates.select("node").hint("merge"), "node"))
     marks = reps.select("node", "rows")
     labels, seen, turn = None, None, 1
     while True:
@@ -233,7 +233,7 @@ def classes(docs: DataFrame) -> DataFrame:
         named = named.withColumn("label", F.col("node"))
     heads = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "node")).alias("_head")).select(F.col("label").alias("_l"), F.col("_head.doc_id").alias("class_id"), F.col("_head.node").alias("class_row"))
     named = stored(named.join(heads, F.col("label") == F.col("_l")).select(apart(F.col("key")).alias("_key"), F.col("key").alias("_k"), "class_id", "class_row", "copies"))
-    return all_rows.select("_row", "doc_id", "key").withColumn("_own", apart(F.col("key"))).join(named, (F.col("_own") == F.col("_key")) & (F.col("key") == F.col("_k"))).select("_row", "doc_id", "class_id", "class_row", "copies")
+    return all_rows.select("_row", "doc_id", "key").withColumn("_own", apart(F.col("key"))).join(named.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("key") == F.col("_k"))).select("_row", "doc_id", "class_id", "class_row", "copies")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -241,7 +241,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     must be the same each time `docs` is read, as it is for files."""
     own = docs.withColumn("_row", F.monotonically_increasing_id())
     gone = classes(own.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")).where("_row <> class_row").select("_row")
-    return own.join(stored(gone), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.join(stored(gone).hint("merge"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
