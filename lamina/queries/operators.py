@@ -148,7 +148,7 @@ def scan_count_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
 
 
-@query("scan_rg_range", "SELECT o_orderkey FROM (SELECT o_orderkey, file_row_number AS r FROM read_parquet('/root/testdata/sf0.01/orders.parquet', file_row_number = true)) AS t WHERE r >= 100 AND r < 350")
+@query("scan_rg_range", "SELECT o_orderkey FROM orders LIMIT 250 OFFSET 100")
 def scan_rg_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, f"{sf_dir}/orders.parquet", Scan(["o_orderkey"], row_range=(100, 250)))
 

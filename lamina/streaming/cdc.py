@@ -29,8 +29,9 @@ def _phase(op: Column) -> Column:
 
 
 def current(rows: DataFrame, deletes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The row that each key's index entry points to: its latest version, unless that is deleted."""
-    latest = rows.groupBy(*key).agg(F.max_by("_row_id", F.struct(COMMIT_TS, "_row_id")).alias("_row_id"), F.max(COMMIT_TS).alias(COMMIT_TS))
+    """The row that each key's index entry points to: its latest version, by timestamp, phase and place in the batch,
+    unless that is deleted."""
+    latest = rows.groupBy(*key).agg(F.max_by("_row_id", F.struct(COMMIT_TS, "_phase", "_seq")).alias("_row_id"), F.max(COMMIT_TS).alias(COMMIT_TS))
     return latest.join(deletes.select("_row_id"), "_row_id", "left_anti")
 
 
@@ -51,7 +52,7 @@ def applied(batch: DataFrame, live: DataFrame, key: Sequence[str], columns: Sequ
     fault = (F.col("_op") == "UPDATE") & ~there
     if strict:
         fault |= F.col("_op").isin("INSERT", "SNAPSHOT") & there
-    rows = told.where(F.col("_op").isin("INSERT", "SNAPSHOT", "UPDATE")).select("_row_id", F.col("_ts").alias(COMMIT_TS), *columns)
+    rows = told.where(F.col("_op").isin("INSERT", "SNAPSHOT", "UPDATE")).select("_row_id", F.col("_ts").alias(COMMIT_TS), "_phase", "_seq", *columns)
     deletes = told.where((F.col("_op") != "DELETE") & F.col("_next").isin("DELETE", "UPDATE")).select("_row_id", F.col("_next_ts").alias("_end_ts"))
     return rows, deletes, told.where(fault).select(*key, F.col("_op").alias("op"), F.col("_ts").alias("ts"), F.col("_seq").alias("seq"))
 
@@ -64,7 +65,7 @@ class VersionedTable:
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, list(key)
         if lacking := [k for k in key if k not in schema.names]:
             raise ValueError(f"no such key columns: {lacking}")
-        self._rows = T.StructType([T.StructField("_row_id", T.StringType()), T.StructField(COMMIT_TS, T.LongType()), *schema.fields, T.StructField("_batch", T.LongType())])
+        self._rows = T.StructType([T.StructField("_row_id", T.StringType()), T.StructField(COMMIT_TS, T.LongType()), T.StructField("_phase", T.IntegerType()), T.StructField("_seq", T.LongType()), *schema.fields, T.StructField("_batch", T.LongType())])
         self._deletes = T.StructType([T.StructField("_row_id", T.StringType()), T.StructField("_end_ts", T.LongType()), T.StructField("_batch", T.LongType())])
         self.gc_ts = -1
 
