@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ class Tokens:
 
     _made: dict[int, Tokens] = {}
 
-    def __init__(self, spec: str, kept: int = 400_000):
+    def __init__(self, spec: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_str(spec), {}, kept
@@ -46,32 +47,32 @@ class Tokens:
             cls._made[key] = cls(spec)
         return cls._made[key]
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> bytes:
         """The model is asked directly for plain words, which spares the library's normalizer and regex."""
         m = PLAIN.fullmatch(w)
         if not m:
-            return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            return np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
         core = m[1].lower()
         if not core.isascii():
             core = core.encode().decode("latin-1").translate(self.letters)
         ids = [t.id for t in self.tokenizer.model.tokenize(core)]
         if m[2]:
             ids += [t.id for t in self.tokenizer.model.tokenize(m[2])]
-        return np.asarray(ids, np.uint32)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by `end`, and where each text starts (with a last entry)."""
         words = Words(texts)
         if len(self.known) > self.most:
             self.known.clear()
-        known, found = self.known, []
-        for w in words.vocabulary.to_pylist():
-            ids = known.get(w)
+        known, vocabulary = self.known, words.vocabulary.to_pylist()
+        found = list(map(known.get, vocabulary))
+        for k, ids in enumerate(found):
             if ids is None:
-                ids = known[w] = self.word(w)
-            found.append(ids)
-        sizes = np.fromiter((len(x) for x in found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.empty(0, np.uint32)
+                w = vocabulary[k]
+                found[k] = known[w] = self.word(w)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        flat = np.frombuffer(b"".join(found), "<u4")
         begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
         n = sizes[words.codes] if len(words.codes) else np.empty(0, np.int64)
         ends = np.cumsum(n)
@@ -161,8 +162,8 @@ def packed(docs: DataFrame, spec: str, size: int = 4096, end: int = 2, windows:
 
         tokens, packer = Tokens.of(spec), Packer(size, windows, TaskContext.get().partitionId() << 32)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 2500):
+                part = b.slice(at, 2500)
                 ids, starts = tokens.batch(part.column(1), end)
                 for k, doc in enumerate(part.column(0).to_pylist()):
                     packer.add(doc, ids[starts[k] : starts[k + 1]])
