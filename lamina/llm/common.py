@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shipped
+
 #: Words are runs of anything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,7 +21,7 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return shipped(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
