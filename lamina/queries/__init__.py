@@ -1,4 +1,4 @@
-from . import clickbench, meta, operators, realtime, surface, tpch  # noqa: F401
+from . import clickbench, meta, operators, realtime, stages, surface, tpch  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

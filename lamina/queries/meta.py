@@ -288,7 +288,7 @@ def rest_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{x} string" for x in columns))
 
 
-@query("src_batches")
+@query("record_reader")
 def record_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows pulled in batches of at most 10."""
     from ..sources.reader import batches
