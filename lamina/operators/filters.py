@@ -105,6 +105,34 @@ class Filter:
             return "all"
         return "some" if values != "none" or null_part else "none"
 
+    def verdict(self, low: Column, high: Column, nulls: Column, rows: Column) -> Column:
+        """matches() for a table of blocks, as an expression."""
+        if self.all:
+            return F.when(rows > 0, "all").otherwise("none")
+        if self.none:
+            return F.lit("none")
+        if self.only_null:
+            return F.when((nulls == rows) & (rows > 0), "all").when(nulls > 0, "some").otherwise("none")
+        full, part = F.lit(False), F.lit(False)
+        for r in self.ranges:
+            a, b = (F.lit(x.value) for x in (r.lower, r.upper))
+            above = F.lit(True) if r.lower.kind == UNBOUNDED else low >= a if r.lower.kind == INCLUDED else low > a
+            below = F.lit(True) if r.upper.kind == UNBOUNDED else high <= b if r.upper.kind == INCLUDED else high < b
+            reach = F.lit(True) if r.lower.kind == UNBOUNDED else high >= a if r.lower.kind == INCLUDED else high > a
+            start = F.lit(True) if r.upper.kind == UNBOUNDED else low <= b if r.upper.kind == INCLUDED else low < b
+            full, part = full | (above & below), part | (reach & start)
+        if not self.ranges:
+            for v in map(F.lit, self.included):
+                full, part = full | ((low == v) & (high == v)), part | ((low <= v) & (high >= v))
+            if self.excluded:
+                clear = reduce(lambda x, y: x & y, [(low > F.lit(v)) | (high < F.lit(v)) for v in self.excluded])
+                full, part = full | clear, part | clear | (low != high)
+        full, part = F.coalesce(full, F.lit(False)), F.coalesce(part, F.lit(False))
+        null_part = (nulls > 0) & F.lit(self.allow_null)
+        empty = F.when(null_part & (nulls == rows), "all").when(null_part, "some").otherwise("none")
+        whole = F.when(full & ((nulls == 0) | null_part), "all").when(part | full | null_part, "some").otherwise("none")
+        return F.when(rows == 0, "none").when(low.isNull(), empty).otherwise(whole)
+
     @staticmethod
     def _range(r: Range, low: Any, high: Any) -> str:
         above = r.lower.kind == UNBOUNDED or (low >= r.lower.value if r.lower.kind == INCLUDED else low > r.lower.value)

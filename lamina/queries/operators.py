@@ -99,8 +99,7 @@ def f_stats_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which blocks of rows a filter can match, by their least and greatest values alone."""
     o = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).cast("long").alias("part_no")).agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"))
     keep = Filter((_R(5000, 9000),))
-    verdict = F.udf(lambda lo, hi: keep.matches(lo, hi, 0, 1000))  # one row for each block of a file
-    return o.select("part_no", verdict("lo", "hi").alias("verdict"))
+    return o.select("part_no", keep.verdict(F.col("lo"), F.col("hi"), F.lit(0), F.lit(1000)).alias("verdict"))
 
 
 @query("f_selectivity")

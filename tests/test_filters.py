@@ -58,6 +58,17 @@ def test_block_verdicts():
         assert said != "all" or hits == len(block)
 
 
+def test_block_verdicts_as_expression(spark):
+    rng = random.Random(3)
+    blocks = [[rng.choice([None, -5, -1, 0, 1, 3, 7]) for _ in range(rng.randint(0, 4))] for _ in range(60)]
+    figures = [(i, min([v for v in b if v is not None], default=None), max([v for v in b if v is not None], default=None), b.count(None), len(b)) for i, b in enumerate(blocks)]
+    df = spark.createDataFrame(figures, "i int, lo long, hi long, nulls long, n long").coalesce(1)
+    filters = [made(rng) for _ in range(40)]
+    got = df.select("i", *[f.verdict(F.col("lo"), F.col("hi"), F.col("nulls"), F.col("n")).alias(f"f{k}") for k, f in enumerate(filters)]).orderBy("i").collect()
+    for k, f in enumerate(filters):
+        assert [r[f"f{k}"] for r in got] == [f.matches(*x[1:]) for x in figures], f
+
+
 def test_json_round_trip():
     t = TableFilter({"a": Filter((Range(Bound(INCLUDED, dt.date(2020, 1, 1)), Bound(EXCLUDED, dt.date(2021, 1, 1))),), allow_null=True), "b": Filter(included=(Decimal("1.50"), Decimal("2"))), "c": Filter(excluded=("x",)), "d": Filter(all=True), "e": Filter(included=(dt.datetime(2020, 1, 1, 5),))})
     assert TableFilter.from_json(t.to_json()) == t
