@@ -14,7 +14,9 @@ from .common import read, stored
 #: Vectors that the tree is fitted and the search calibrated on, at most. Every vector is filed and searched.
 SAMPLE = 20_000
 #: Children of a node; vectors in a leaf, on average; vectors in a block of a leaf, at most about.
-BRANCHES, LEAF, BLOCK = 8, 256, 4096
+BRANCHES, LEAF, BLOCK = 8, 1024, 4096
+#: Leaves that are searched first; what a query's k best have there bounds what other leaves give.
+FIRST = 6
 #: Recall that the number of visited leaves is calibrated to, on sample queries not used for the fit.
 RECALL, PROBES = 0.97, 200
 
@@ -117,7 +119,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
     vec_id the least vector stands. A query's own vec_id is left out of its result; with fewer than k others, all are.
 
     The tree is fitted on `sample` vectors on the driver. Rows are dealt by leaf, and a leaf with many rows, such as
-    copies of one vector, in blocks; each block gives each visiting query its k best, by exact scores."""
+    copies of one vector, in blocks; each block gives each visiting query its k best, by exact scores. The first leaves
+    are searched before the others, which then give only what beats the k best so far."""
     spark = vectors.sparkSession
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
     width = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -128,7 +131,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
     picked = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(rows)) < int(sample * 1.1)).limit(sample).select("v").toArrow()
     points = _matrix(picked.column("v"))
     probes = points[:: max(1, len(points) // PROBES)][:PROBES]
-    tree = Tree(points, max(16, LEAF * len(points) // rows))
+    tree = Tree(points, max(64, LEAF * len(points) // rows))
     visits = calibrated(tree, points, probes, k)
 
     def file(batches):
@@ -143,31 +146,40 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
     filed = stored(own.mapInArrow(file, "vec_id long, v array<double>, leaf int"))
     sizes = stored(filed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     blocks = filed.join(F.broadcast(sizes), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v")
-    asked = own.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(route, "query_id long, q array<double>, leaves array<int>")
-    asked = asked.select("query_id", "q", F.explode("leaves").alias("leaf")).join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q")
+    asked = stored(own.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).mapInArrow(route, "query_id long, q array<double>, leaves array<int>"))
 
     def best(key, block, queries):
         ids, p = block.column("vec_id").to_numpy(), _matrix(block.column("v")) if len(block) else None
         names, q = queries.column("query_id").to_numpy(), _matrix(queries.column("q")) if len(queries) else None
+        floor = queries.column("floor").to_numpy()
         out = []
         for at in range(0, len(names) if len(ids) else 0, 256):
             product = q[at : at + 256] @ p.T
             for i, row in enumerate(product):
-                rough = np.arange(len(ids))
+                edge = floor[at + i]
                 if len(ids) > k + 1:
-                    edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
-                    rough = np.flatnonzero(row >= edge - 1e-9 * (1 + abs(edge)))
+                    edge = max(edge, np.partition(row, len(row) - k - 1)[len(row) - k - 1])
+                rough = np.flatnonzero(row >= edge - 1e-9 * (1 + abs(edge))) if np.isfinite(edge) else np.arange(len(ids))
                 score = np.einsum("ij,j->i", p[rough], q[at + i])
-                keep = ids[rough] != names[at + i]
+                keep = (ids[rough] != names[at + i]) & (score >= floor[at + i])
                 rough, score = rough[keep], score[keep]
                 order = np.lexsort((ids[rough], -score))[:k]
                 out.append((np.full(len(order), names[at + i]), ids[rough[order]], score[order]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
         return pa.table([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = blocks.groupBy("leaf", "block").cogroup(asked.groupBy("leaf", "block")).applyInArrow(best, "query_id long, vec_id long, score double")
+    def searched(queries: DataFrame) -> DataFrame:
+        """The k best of each query (query_id, q, leaves, floor) in each block of its leaves, none below its floor."""
+        own = queries.select("query_id", "q", "floor", F.explode("leaves").alias("leaf")).join(F.broadcast(sizes), "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "q", "floor")
+        return blocks.groupBy("leaf", "block").cogroup(own.groupBy("leaf", "block")).applyInArrow(best, "query_id long, vec_id long, score double")
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = stored(ranked(searched(asked.select("query_id", "q", F.slice("leaves", 1, FIRST).alias("leaves"), F.lit(float("-inf")).alias("floor")))).select("query_id", "vec_id", "score"))
+    floors = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select(F.col("query_id").alias("_id"), F.when(F.col("n") == k, F.col("least")).alias("_floor"))
+    rest = asked.where(F.size("leaves") > FIRST).join(floors, F.col("query_id") == F.col("_id"), "left")
+    rest = rest.select("query_id", "q", F.slice("leaves", F.lit(FIRST + 1), F.size("leaves") - FIRST).alias("leaves"), F.coalesce("_floor", F.lit(float("-inf"))).alias("floor"))
+    return ranked(near.union(searched(rest))).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
