@@ -57,24 +57,24 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return later.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("_a", "_b"))))).alias("_lost"))
 
 
-def deduplicated(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """`docs`, with the lines of later repeated runs taken from `text` (see repeated_lines), and `_lost`, how many.
-    Other columns stay as they are; so does a null or empty text, and one that loses nothing. A text that loses all
-    its lines is empty. Lines without words that stood between lost ones stay. The order of rows must be the same each
-    time `docs` is read, as it is for files."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    lost = stored(repeated_lines(own.select("_row", "doc_id", "text"), words)).withColumnRenamed("_row", "_own").withColumnRenamed("_lost", "_which")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col("_which"))
-    text = F.when(F.col("_which").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(_lines(F.col("text")), k)), "\n"))
+def deduplicated(docs: DataFrame, words: int = WORDS, lost: str = "lines_lost") -> DataFrame:
+    """`docs`, with the lines of later repeated runs taken from `text` (see repeated_lines), and a column that says how
+    many; a column of docs with that name gives way. Other columns stay as they are, whatever they are called; so does
+    a null or empty text, and one that loses nothing. A text that loses all its lines is empty. Lines without words
+    that stood between lost ones stay. Of equal rows, all but one are later. An empty table gives an empty table. The
+    order of rows must be the same each time `docs` is read, as it is for files."""
+    own = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    gone = stored(repeated_lines(own.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text")), words)).withColumnRenamed("_row", "_own")
+    lines = _lines(F.col("_doc.text"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
+    text = F.when(F.col("_lost").isNull(), F.col("_doc.text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     # The plan for large tables, whatever the size: what is lost grows with the documents and isn't broadcast.
-    joined = own.join(lost.hint("merge"), F.col("_row") == F.col("_own"), "left")
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_which"), F.lit(0)).alias("_lost"))
+    joined = own.join(gone.hint("merge"), F.col("_row") == F.col("_own"), "left")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns if c != lost], F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias(lost))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = deduplicated(docs)
-    return out.select("doc_id", F.col("_lost").cast("long").alias("lines_lost"), "text")
+    return deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "lines_lost", "text")
 
 
 #: The same by windows over exploded lines. Lines without words stay, as in the query.
