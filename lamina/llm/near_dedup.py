@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Words, apart, mix, read, stored
+from .common import GOLDEN, Words, apart, mix, read, slices, stored, tidy
 
 #: Words in a shingle, and the weighted Jaccard similarity from which on two documents are linked.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -19,6 +20,8 @@ BANDS, ROWS = 20, 4
 #: Signatures that agree in fewer of the 80 rows than this are not verified: a pair of similarity 0.8 falls below it
 #: about one time in 100,000.
 AGREE = 48
+#: Similarity to a pivot from which on it can be a node's home.
+NEAR = 0.5
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +86,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for stretch in slices(b.column(2)):
+                part = b.slice(*stretch)
                 words = Words(part.column(2))
                 each = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
                 keys, bands, rows, done = [], [], [], {}
@@ -105,49 +108,62 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(done[key][0])
                     rows.append(done[key][1])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(rows, pa.binary())], ["_row", "doc_id", "key", "bands", "rows"])
+            tidy()
 
     return docs.select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>, rows binary")
 
 
-def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those whose signatures agree well enough."""
-    left, right = (marks.select(F.col("node").alias(f"_{c}"), F.col("rows").alias(f"_r{c}")) for c in "ab")
-    both = pairs.join(left.hint("merge"), F.col("a") == F.col("_a")).join(right.hint("merge"), F.col("b") == F.col("_b"))
+def _alike(x: str, y: str) -> Column:
+    """Whether the signatures in two columns agree well enough to be verified."""
 
     @F.pandas_udf("boolean")
-    def agree(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
+    def agree(p: pd.Series, q: pd.Series) -> pd.Series:
+        if not len(p):
             return pd.Series([], dtype=bool)
-        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((p == q).sum(axis=1) >= AGREE)
+        one, two = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (p, q))
+        return pd.Series((one == two).sum(axis=1) >= AGREE)
 
-    return both.where(agree("_ra", "_rb")).select("a", "b")
+    return agree(F.col(x), F.col(y))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b), those that are similar enough, by the whole texts (node, text)."""
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, _ta, _tb: distinct pairs with both texts."""
     left, right = (texts.select(F.col("node").alias(f"_{c}"), F.col("text").alias(f"_t{c}")) for c in "ab")
-    both = pairs.join(left.hint("merge"), F.col("a") == F.col("_a")).join(right.hint("merge"), F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
+    return pairs.join(left.hint("merge"), F.col("a") == F.col("_a")).join(right.hint("merge"), F.col("b") == F.col("_b")).select("a", "b", "_ta", "_tb")
+
+
+class _Sets:
+    """The multisets of nodes' shingles, kept while a node comes again and again."""
+
+    def __init__(self, most: int = 2000):
+        self.kept, self.most = {}, most
+
+    def of(self, nodes: list[int], texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(self.kept) > self.most:
+            self.kept.clear()
+        new = {node: i for i, node in enumerate(nodes) if node not in self.kept}
+        if new:
+            words = Words(texts.take(pa.array(list(new.values()))))
+            each = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
+            self.kept |= {node: shingles(each[words.starts[k] : words.starts[k + 1]]) for k, node in enumerate(new)}
+        return [self.kept[node] for node in nodes]
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """a, b, j: of distinct pairs (a, b), those with a similarity of `least` or more, by the whole texts."""
 
     def run(batches):
-        kept: dict[int, tuple] = {}
+        sets = _Sets()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                if len(kept) > 2000:
-                    kept.clear()
-                new = {node: (c, i) for c, nodes in ((2, a), (3, b)) for i, node in enumerate(nodes) if node not in kept}
-                for c in (2, 3):
-                    own = {node: i for node, (col, i) in new.items() if col == c}
-                    if own:
-                        words = Words(part.column(c).take(pa.array(list(own.values()))))
-                        each = words.hashes()[words.codes]
-                        kept |= {node: shingles(each[words.starts[k] : words.starts[k + 1]]) for k, node in enumerate(own)}
-                fit = pa.array([similarity(kept[x], kept[y]) >= SIMILARITY for x, y in zip(a, b, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(fit), part.column(1).filter(fit)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+                both = [sets.of(part.column(c).to_pylist(), part.column(c + 2)) for c in (0, 1)]
+                j = np.array([similarity(x, y) for x, y in zip(*both, strict=True)], np.float64)
+                fit = pa.array(j >= least)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(fit), part.column(1).filter(fit), pa.array(j).filter(fit)], ["a", "b", "j"])
+        tidy()
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, j double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,7 +173,6 @@ def components(edges: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     while True:
-        labels = stored(labels)
         near = both.join(labels.withColumnRenamed("node", "_n"), F.col("b") == F.col("_n")).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("_was"))
         spread = near.union(labels.select("node", "label", F.col("label").alias("_was"))).groupBy("node").agg(F.min("label").alias("label"), F.max("_was").alias("_was"))
         learnt = spread.groupBy(F.col("_was").alias("_old")).agg(F.min("label").alias("_to"))
@@ -167,6 +182,101 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
+def _members(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset's elements: the second, third... of equal shingles are elements of their own."""
+    nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mix(np.repeat(keys, counts) + nth.astype(np.uint64) * GOLDEN).view(np.int64)
+
+
+def _elements(texts: DataFrame) -> DataFrame:
+    """node, n, element: the elements of each text, n in all."""
+
+    def run(batches):
+        sets = _Sets(0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                nodes = part.column(0).to_pylist()
+                own = [_members(*x) for x in sets.of(nodes, part.column(1))]
+                sizes = np.array([len(x) for x in own], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, sizes), pa.int64()), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], ["node", "n", "element"])
+        tidy()
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, element long")
+
+
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, n, m, d, element: for pairs (node a, pivot b) of n and m elements, the d elements that one of the two has
+    and the other hasn't."""
+
+    def run(batches):
+        sets = _Sets()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                both = [sets.of(part.column(c).to_pylist(), part.column(c + 2)) for c in (0, 1)]
+                own = [tuple(_members(*x) for x in two) for two in zip(*both, strict=True)]
+                apart_ = [np.setxor1d(x, y, assume_unique=True) for x, y in own]
+                sizes = np.array([len(x) for x in apart_], np.int64)
+                columns = [part.column(0).to_numpy(), part.column(1).to_numpy(), np.array([len(x) for x, _ in own]), np.array([len(y) for _, y in own]), sizes]
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(c, sizes), pa.int64()) for c in columns], pa.array(np.concatenate(apart_))], ["a", "b", "n", "m", "d", "element"])
+        tidy()
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, n long, m long, d long, element long")
+
+
+def _ranked(rows: DataFrame, keys: list[str], *figures: str) -> DataFrame:
+    """Of rows (node, keys, element, figures), each node's elements as `all`, in order of how few nodes have them, and
+    `alone`, how many no other node has."""
+    common = rows.groupBy(*keys).agg(F.count("*").alias("df")).select(apart(F.struct(*keys)).alias("_key"), *[F.col(k).alias(f"_k_{k}") for k in keys], "df")
+    on = (F.col("_own") == F.col("_key")) & reduce(lambda p, q: p & q, [F.col(k) == F.col(f"_k_{k}") for k in keys])
+    counted = rows.withColumn("_own", apart(F.struct(*keys))).join(common.hint("merge"), on)
+    return counted.groupBy("node").agg(*[F.first(f).alias(f) for f in figures], F.count_if(F.col("df") == 1).alias("alone"), F.array_sort(F.collect_list(F.struct("df", "element"))).alias("all"))
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    x, y = (rows.select([F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in "xy")
+    return x, y
+
+
+def _rest(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: all pairs of nodes of different classes that are similar enough, in `nodes` (node, label, home, stray). Two
+    exact similarity joins by prefixes: sets that overlap enough share one of the elements that come first
+    in each, in order of how few nodes have them; what can overlap at most then bounds what is left.
+
+    Of two nodes with the same home, one is a stray, and their differences from the home are compared. The difference
+    of two sets is that of their differences from a third; a stray's is large, so that it must share much of it with
+    any node that it is similar to. Of the many copies of a text that each have words of their own, no pair is made,
+    since their differences have those words first. Pairs of different homes, or without, are compared by all elements,
+    those that no other node has counting against them."""
+    share = (1 - SIMILARITY) / (1 + SIMILARITY)  # similar sets of n and m elements differ in share * (n + m) at most
+    near = nodes.where("home is not null and home <> node").select(F.col("node").alias("a"), F.col("home").alias("b"))
+    rows = stored(_differences(near, texts).withColumnsRenamed({"a": "node", "b": "home"}))
+    placed = _ranked(rows, ["home", "element"], "n", "m", "d").join(nodes.hint("merge"), "node")
+    # How much a stray must share with any node; how much a node with any stray, whose difference is over its share.
+    as_x = F.when(F.col("stray"), F.col("d") - F.greatest(F.lit(1.0), F.ceil(F.col("d") - share * (1 + 1 / SIMILARITY) * F.col("n") - 1e-9)) + 1).otherwise(F.lit(0.0))
+    as_y = F.col("d") - (F.floor((F.col("d") + share * (F.col("m") - F.col("n"))) / 2 - 1e-9) + 1) + 1
+    placed = placed.withColumn("as_x", as_x).withColumn("as_y", as_y.cast("double"))
+    first = placed.select("node", "label", "home", "stray", "n", "d", "as_x", "as_y", F.posexplode(F.slice("all", F.lit(1), F.greatest(F.lit(0), F.greatest("as_x", "as_y").cast("int")))).alias("at", "e"))
+    first = stored(first.select("node", "label", "home", "stray", "n", "d", "as_x", "as_y", F.col("at").cast("double").alias("at"), F.col("e.element").alias("element")))
+    x, y = _sides(first)
+    must = (F.col("d_x") + F.col("d_y") - share * (F.col("n_x") + F.col("n_y"))) / 2 - 1e-9
+    can = F.least(F.col("d_x") - F.col("at_x"), F.col("d_y") - F.col("at_y"))
+    on = (F.col("home_x") == F.col("home_y")) & (F.col("element_x") == F.col("element_y")) & (F.col("label_x") != F.col("label_y"))
+    once = ~F.col("stray_y") | (F.col("node_x") < F.col("node_y"))
+    one = x.where("stray_x and at_x < as_x_x").join(y.where("at_y < as_y_y"), on & once & (can >= must)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+    rows = stored(_elements(texts.join(nodes.select("node").hint("merge"), "node")))
+    ranked = _ranked(rows, ["element"], "n")
+    first = ranked.select("node", "n", "alone", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).cast("int"))).alias("at"))
+    x, y = _sides(stored(first.select("node", "n", "alone", F.col("at.element").alias("element")).join(nodes.hint("merge"), "node")))
+    over = F.least(F.col("n_x") - F.col("alone_x"), F.col("n_y") - F.col("alone_y"))
+    able = over >= SIMILARITY * (F.col("n_x") + F.col("n_y") - over) - 1e-9
+    other = ~F.coalesce(F.col("home_x") == F.col("home_y"), F.lit(False))
+    two = x.join(y, (F.col("element_x") == F.col("element_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("node_x") < F.col("node_y")) & other & able).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    return _similar(one.union(two).distinct(), texts).select("a", "b")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """_row, doc_id, class_id, class_row, copies: for each row of `docs` (_row long, doc_id long, text), the least
     doc_id in its class, the least _row among rows with that id, and the number of rows with the same words.
@@ -177,71 +287,56 @@ def classes(docs: DataFrame) -> DataFrame:
     class_id.
 
     Copies are put together first, whatever their number, and one of each stands for them (a node). Nodes that share a
-    band's hash form a bucket, and each bucket's pivots are compared to all its other members: in the first round, the
-    one member with the most bucket mates. After each round, what is linked forms a class. A bucket is settled once
-    the members that have not been pivots are of one class. In those that aren't, the smallest class is a pivot next,
-    and with it a share of the others that doubles each round, the largest class never: in the end every two members
-    of a bucket have been compared, or are connected by others, after as many rounds as the logarithm of a bucket's
-    classes. So no link is lost, and a large group of near copies takes a round or two instead of all its pairs."""
+    band's hash form a bucket, and its pivot, the member with the most bucket mates, is compared to all others in it.
+    What is linked forms classes, and a node's home is a pivot that is near it, and near many others. In buckets whose members
+    are not of one class then, _rest() finds all other links. So any two that share a bucket are compared, or proven
+    too different, or connected by others: no link is lost, and a large group of near copies doesn't take all its
+    pairs."""
     all_rows = stored(signatures(docs))
     reps = all_rows.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "_row")).alias("_least"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("rows").alias("rows"))
     reps = stored(reps.select("key", F.col("_least._row").alias("node"), F.col("_least.doc_id").alias("doc_id"), "copies", "bands", "rows"))
     member = reps.select("node", F.posexplode("bands").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select(apart(F.col("bucket")).alias("_key"), F.col("bucket").alias("_b"), "size")
     member = stored(member.withColumn("_own", apart(F.col("bucket"))).join(sizes.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("bucket") == F.col("_b"))).select("node", "bucket", "size"))
-    mates = member.groupBy("node").agg(F.sum("size").alias("mates"))
-    active = stored(member.join(mates, "node").select("node", "bucket", F.struct(-F.col("mates"), F.xxhash64("node"), "node").alias("rank"), F.col("node").alias("label")))
-    texts = stored(docs.select(F.col("_row").alias("node"), "text").join(mates.select("node").hint("merge"), "node"))
-    marks = reps.select("node", "rows")
-    labels, seen, turn = None, None, 1
-    while True:
-        held = active.groupBy("bucket", "label").agg(F.count("*").alias("held"), F.min("rank").alias("first"))
-        one = F.struct("first", "held", "label") if turn == 1 else F.struct("held", "first", "label")
-        per = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("least"), F.max(F.struct("held", "first", "label")).alias("most")).where("n > 1")
-        per = stored(per.select(F.col("bucket").alias("_bucket"), "n", F.col("least.label").alias("_least"), F.col("most.label").alias("_most")))
-        if not per.limit(1).count():
-            break
-        some = F.pmod(F.xxhash64("label", "_bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("n") < F.lit(2.0 ** (20 + turn - 1))
-        is_pivot = (F.col("label") == F.col("_least")) | ((F.col("label") != F.col("_most")) & some if turn > 1 else F.lit(False))
-        active = stored(active.join(per, F.col("bucket") == F.col("_bucket")).select("node", "bucket", "rank", "label", is_pivot.alias("pivot")))
-        pivot = active.where("pivot").select(F.col("node").alias("_pivot"), F.col("bucket").alias("_bucket"), F.col("label").alias("_label"))
-        pairs = active.join(pivot, (F.col("bucket") == F.col("_bucket")) & (F.col("label") != F.col("_label")))
-        pairs = pairs.select(F.least("node", "_pivot").alias("a"), F.greatest("node", "_pivot").alias("b")).distinct()
-        pairs = stored(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
-        seen = pairs if seen is None else seen.union(pairs)
-        found = stored(_verified(_alike(pairs, marks), texts))
-        active = active.where("not pivot").drop("pivot")
-        if found.limit(1).count():
-            # Links of classes: each node stands under the label it has by now.
-            if labels is not None:
-                for end in "ab":
-                    found = found.join(labels.withColumnRenamed("node", "_n"), F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
-            merged = components(found).select(F.col("node").alias("_from"), F.col("label").alias("_to"))
-            active = active.join(merged, F.col("label") == F.col("_from"), "left").select("node", "bucket", "rank", F.coalesce("_to", "label").alias("label"))
-            if labels is None:
-                labels = merged.select(F.col("_from").alias("node"), F.col("_to").alias("label"))
-            else:
-                old = labels.join(merged, F.col("label") == F.col("_from"), "left").select("node", F.coalesce("_to", "label").alias("label"))
-                new = merged.join(labels.select("node"), F.col("_from") == F.col("node"), "left_anti").select(F.col("_from").alias("node"), F.col("_to").alias("label"))
-                labels = stored(old.union(new))
-        active = stored(active)
-        turn += 1
-    named = reps.select("key", "node", "doc_id", "copies")
-    if labels is not None:
-        named = named.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("key", "node", "doc_id", "copies", F.coalesce("label", "node").alias("label"))
-    else:
-        named = named.withColumn("label", F.col("node"))
+    mates = member.groupBy("node").agg(F.sum("size").alias("mates")).join(reps.select("node", "rows").hint("merge"), "node")
+    active = stored(member.join(mates.hint("merge"), "node").select("node", "bucket", "rows", F.struct(-F.col("mates"), F.xxhash64("node"), "node").alias("rank"), F.col("node").alias("label")))
+    texts = stored(docs.select(F.col("_row").alias("node"), "text").join(active.select("node").distinct().hint("merge"), "node"))
+    bucket = F.struct(F.col("rank").alias("r"), F.col("node").alias("p"), F.col("rows").alias("s"))
+    pivot = active.groupBy("bucket").agg(F.min(bucket).alias("_pivot")).select(apart(F.col("bucket")).alias("_key"), F.col("bucket").alias("_bucket"), "_pivot")
+    pairs = active.withColumn("_own", apart(F.col("bucket"))).join(pivot.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("bucket") == F.col("_bucket"))).where(F.col("node") != F.col("_pivot.p"))
+    pairs = pairs.where(_alike("rows", "_pivot.s")).select(F.col("node").alias("a"), F.col("_pivot.p").alias("b")).distinct()
+    close = stored(_similar(pairs, texts, NEAR))
+    labels = components(close.where(F.col("j") >= SIMILARITY))
+    mine = labels.withColumnRenamed("node", "_n").hint("merge")
+    active = active.select("node", "bucket").join(mine, F.col("node") == F.col("_n"), "left").select("node", "bucket", F.coalesce("label", "node").alias("label"))
+    held = active.groupBy("bucket").agg(F.min("label").alias("_one"), F.max("label").alias("_two")).where("_one <> _two").select(apart(F.col("bucket")).alias("_key"), F.col("bucket").alias("_bucket"))
+    rest = active.withColumn("_own", apart(F.col("bucket"))).join(held.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("bucket") == F.col("_bucket"))).select("node", "label").distinct()
+    # Of the pivots near a node, and itself if it is one, the home is the one near the most nodes.
+    many = close.groupBy("b").agg(F.count("*").alias("near")).select(apart(F.col("b")).alias("_key"), F.col("b").alias("_b"), "near")
+    homes = close.select("a", "b", "j").union(close.select(F.col("b").alias("a"), "b", F.lit(1.0).alias("j")).distinct()).withColumn("_own", apart(F.col("b")))
+    homes = homes.join(many.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("b") == F.col("_b")))
+    homes = homes.groupBy("a").agg(F.max(F.struct("near", "j", F.col("b").alias("home"))).alias("_h")).select(F.col("a").alias("_n"), F.col("_h.home").alias("home"))
+    rest = rest.join(homes.hint("merge"), F.col("node") == F.col("_n"), "left").drop("_n").join(labels.select(F.col("node").alias("_n"), F.col("label").alias("_class")).hint("merge"), F.col("home") == F.col("_n"), "left")
+    # A stray is not of its home's class; of two nodes with one home and different classes, one is.
+    rest = stored(rest.select("node", "label", "home", (F.col("home").isNull() | (F.col("label") != F.coalesce("_class", "home"))).alias("stray")))
+    found = stored(_rest(rest, texts))
+    # Links of classes: each node stands under the label it has by now.
+    for end in "ab":
+        found = found.join(labels.withColumnRenamed("node", "_n").hint("merge"), F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
+    merged = components(found).select(F.col("node").alias("_from"), F.col("label").alias("_to"))
+    named = reps.select("key", "node", "doc_id", "copies").join(labels.withColumnRenamed("node", "_n").hint("merge"), F.col("node") == F.col("_n"), "left").withColumn("label", F.coalesce("label", "node"))
+    named = named.join(merged.hint("merge"), F.col("label") == F.col("_from"), "left").select("key", "node", "doc_id", "copies", F.coalesce("_to", "label").alias("label"))
     heads = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("u"), "doc_id", "node")).alias("_head")).select(F.col("label").alias("_l"), F.col("_head.doc_id").alias("class_id"), F.col("_head.node").alias("class_row"))
     named = stored(named.join(heads, F.col("label") == F.col("_l")).select(apart(F.col("key")).alias("_key"), F.col("key").alias("_k"), "class_id", "class_row", "copies"))
     return all_rows.select("_row", "doc_id", "key").withColumn("_own", apart(F.col("key"))).join(named.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("key") == F.col("_k"))).select("_row", "doc_id", "class_id", "class_row", "copies")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Of each class of `docs` (see classes), the row that stands for it; all columns as they are. The order of rows
-    must be the same each time `docs` is read, as it is for files."""
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = classes(own.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")).where("_row <> class_row").select("_row")
-    return own.join(stored(gone).hint("merge"), "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each class of `docs` (see classes), the row that stands for it; all columns as they are, whatever they are
+    called. The order of rows must be the same each time `docs` is read, as it is for files."""
+    own = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    gone = classes(own.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))).where("_row <> class_row").select("_row")
+    return own.join(stored(gone).hint("merge"), "_row", "left_anti").select("_doc.*")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
