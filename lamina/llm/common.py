@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,6 +59,24 @@ def apart(key: Column) -> Column:
     return F.xxhash64(key, F.lit("apart"))
 
 
+def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(begin, length) of stretches of an array of texts with about `size` bytes each; a longer text has its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(ends):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield begin, end - begin
+        begin = end
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system. Python workers live on from stage to stage; what one stage has freed
+    would still count against the executor in the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """The words of an array of texts: `codes` into `vocabulary`, `counts` words for each text, in order."""
 
@@ -100,9 +121,17 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def label_share(labels: DataFrame, label: str, eligible: Column | None = None) -> float:
+    """The share of label 1 among all rows with a 0 or a 1; a half, if there are none."""
+    own = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("_y")).where("_y in (0, 1)")
+    share = (own if eligible is None else own.where(eligible)).agg(F.avg("_y")).first()[0]
+    return 0.5 if share is None else float(share)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, eligible: Column | None = None) -> list[tuple[str, int]]:
     """Whole texts of at most `most` labelled documents of each class, (text, 0 or 1), the same ones each time: those
-    whose ids hash lowest. Conflicting labels of one id are left out, as are texts of over 200,000 characters.
+    whose ids hash lowest. Conflicting labels of one id are left out, as are texts of over 30,000 characters, so that
+    what reaches the driver is bounded.
     eligible: a condition on `doc_id`. The ids picked are at most 2 * most, so that they may be broadcast."""
     own = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("_y")).where("doc_id is not null and _y in (0, 1)")
     own = own.groupBy("doc_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z")
@@ -113,6 +142,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, eligible
     if not picked:
         return []
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, _y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.length("text") <= 200_000)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.length("text") <= 30_000)
     rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()
     return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]

@@ -69,21 +69,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift of a one-feature logistic regression with a small ridge, by Newton's method; targets are
-    smoothed as Platt does."""
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Slope (positive) and shift of a one-feature logistic regression with a small ridge, by Newton's method with
+    halved steps; targets are smoothed as Platt does."""
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, b = 1.0, 0.0
+    middle, spread = float(np.average(x, weights=weight)), float(np.sqrt(np.average((x - np.average(x, weights=weight)) ** 2, weights=weight))) or 1.0
+    z = (x - middle) / spread
+
+    def loss(a: float, b: float) -> float:
+        return float((weight * (np.logaddexp(0, a * z + b) - t * (a * z + b))).sum() + 0.005 * (a * a + b * b))
+
+    mean = float(np.average(t, weights=weight))
+    a, b = 0.0, float(np.log(mean / (1 - mean)))
     for _ in range(steps):
-        p = sigmoid(a * x + b)
+        p = sigmoid(a * z + b)
         d, v = (p - t) * weight, np.maximum(p * (1 - p), 1e-9) * weight
-        g = np.array([(d * x).sum() + 1e-2 * a, d.sum() + 1e-3 * b])
-        h = np.array([[(v * x * x).sum() + 1e-2, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-3]])
-        step = np.linalg.solve(h, g)
-        a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
-        if np.abs(step).max() < 1e-6:
+        g = np.array([(d * z).sum() + 0.01 * a, d.sum() + 0.01 * b])
+        h = np.array([[(v * z * z).sum() + 0.01, (v * z).sum()], [(v * z).sum(), v.sum() + 0.01]])
+        step, size, now = np.linalg.solve(h, g), 1.0, loss(a, b)
+        while size > 1e-4 and loss(a - size * step[0], b - size * step[1]) > now:
+            size /= 2
+        a, b = a - size * step[0], b - size * step[1]
+        if np.abs(size * step).max() < 1e-7:
             break
-    return float(max(a, 1e-3)), float(b)
+    a = max(a, 1e-3)
+    return float(a / spread), float(b - a * middle / spread)
 
 
 def fit(rows: list[tuple[str, int]], prior: float | None = None, epochs: int = 80, rate: float = 0.5) -> Model:

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import Words, labelled, mix, read, segment_sums
+from .common import Words, labelled, mix, read, segment_sums, slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: A document is kept from this probability of good quality on.
-THRESHOLD = 0.5
+#: A document is kept from this probability of good quality on: one is rejected only if it is clearly poor.
+THRESHOLD = 0.3
 #: Labelled rows of each class that the classifier is fitted on, at most.
 SAMPLE = 1200
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
@@ -61,8 +61,8 @@ def judged(docs: DataFrame, model: hashed.Model, threshold: float = THRESHOLD) -
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for stretch in slices(b.column(1)):
+                part = b.slice(*stretch)
                 texts = pc.fill_null(part.column(1), "")
                 c = counts(texts)
                 failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import labelled, read, stored
+from .common import labelled, read, slices, stored, tidy
 
 #: Labelled rows of each class that the document classifier is fitted on, at most.
 SAMPLE = 1200
-#: A document is kept from this posterior probability of good quality on.
-THRESHOLD = 0.5
+#: A document is kept from this posterior probability of good quality on: one is rejected only if it is clearly poor.
+THRESHOLD = 0.3
 
 
 def evidence(model: hashed.Model) -> Column:
@@ -23,7 +24,10 @@ def evidence(model: hashed.Model) -> Column:
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
-        return pd.Series(hashed.sigmoid(model.logits(pa.array(texts.fillna(""), pa.string()))))
+        own = pa.array(texts.fillna(""), pa.string())
+        parts = [hashed.sigmoid(model.logits(own.slice(*x))) for x in slices(own)]
+        tidy()
+        return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     return judge(F.col("text"))
 
@@ -88,13 +92,13 @@ def judged(docs: DataFrame, model: hashed.Model, host: str = "source", path: str
 
 
 def kept(docs: DataFrame, model: hashed.Model, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that judged() keeps, with their own columns. Texts are read twice and, if Spark finds the
-    table of sites small, not exchanged."""
+    """The rows of `docs` that judged() keeps, with their own columns, whatever they are called. Texts are read twice
+    and, if Spark finds the table of sites small, not exchanged."""
     known = sites(docs.select(*_place(host, path), evidence(model).alias("_p")))
+    own = docs.select(F.struct("*").alias("_doc"), *_place(host, path), evidence(model).alias("_p"))
     site = known.table.withColumnRenamed("_host", "_h").withColumnRenamed("_path", "_t")
-    own = docs.select("*", *_place(host, path), evidence(model).alias("_p"))
     joined = own.join(site, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_t")))
-    return joined.where(known.posterior(F.col("_p")) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.where(known.posterior(F.col("_p")) >= threshold).select("_doc.*")
 
 
 def document_model(docs: DataFrame, labels: DataFrame) -> hashed.Model:

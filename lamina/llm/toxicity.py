@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, labelled, read, remainder
+from .common import Words, label_share, labelled, mix, read, remainder, slices, tidy
 from .hashed import platt, sigmoid
 
 #: Labelled documents of each class that the model is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Marks that don't count as part of a word.
 MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”‘’…¿¡–—"
 #: Lengths of the beginnings of a word whose evidence stands in where a word's own says nothing.
@@ -60,7 +60,7 @@ class Model:
     def weight(self, word: str) -> float:
         w = self.known.get(word)
         if w is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             own, get = plain(word), self.weights.get
             w = get(own, 0.0) if own else 0.0
@@ -102,10 +102,32 @@ class Model:
         return np.array([self.slope * self.surprise(f, int(k)) + self.shift for f, k in zip(found, n, strict=True)])
 
 
-def log_odds(rows: list[tuple[str, int]], alpha: float = 0.5, z_word: float = 3.5, z_head: float = 4.0) -> dict[str, float]:
+def unlike(rows: list[tuple[str, int]], hashes: int = 12, least: int = 4) -> list[tuple[str, int]]:
+    """The rows without near copies of earlier ones of the same label: those that agree in `least` of some minimum
+    hashes of four-word shingles. Copies of a text are evidence once."""
+    seen: dict[tuple[int, int, int], int] = {}
+    out = []
+    for text, y in rows:
+        words = Words(pa.array([text], pa.string()))
+        h = words.hashes()[words.codes] if len(words.codes) else np.zeros(1, np.uint64)
+        n = max(1, len(h) - 3)
+        grams = mix(h[:n] + np.uint64(len(h) < 4))
+        for k in range(1, min(4, len(h))):
+            grams = mix(grams * np.uint64(3) ^ h[k : k + n])
+        least_ones = [(y, k, int(mix(grams + np.uint64(k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min())) for k in range(hashes)]
+        met = Counter(seen[m] for m in least_ones if m in seen)
+        if met and met.most_common(1)[0][1] >= least:
+            continue
+        for m in least_ones:
+            seen.setdefault(m, len(out))
+        out.append((text, y))
+    return out
+
+
+def log_odds(rows: list[tuple[str, int]], alpha: float = 0.5, z_word: float = 3.5, z_head: float = 4.0, least: float = 1.0) -> dict[str, float]:
     """Log-odds of each unit's document frequency in label 1 against label 0, under an informative Dirichlet prior (the
     unit's share of all rows, worth `alpha` documents of each class), drawn in by one standard deviation; units whose
-    log-odds are within z of them get none. Only what remains is returned. A beginning counts only if at least four
+    log-odds are within z of them, or under `least` then, get none. Only what remains is returned. A beginning counts only if at least four
     words with it occur in rows of label 1, none of them in half of its rows: else it says what that word says."""
     seen = (Counter(), Counter())
     sizes = [0, 0]
@@ -131,7 +153,7 @@ def log_odds(rows: list[tuple[str, int]], alpha: float = 0.5, z_word: float = 3.
         deviation = np.sqrt(1 / (c0 + 0.5) + 1 / (c1 + 0.5))
         z = z_head if u.endswith("*") else z_word
         w = np.sign(delta) * (abs(delta) - deviation if abs(delta) > z * deviation else 0.0)
-        if w > 0.2 or w < -0.2 and not u.endswith("*"):
+        if w > least or w < -least and not u.endswith("*"):
             out[u] = float(w)
     return out
 
@@ -159,9 +181,10 @@ def tail(model: Model, clean: list[str]) -> None:
     model.constant = float(np.clip(hits / max(1, len(words.codes)) * np.exp(model.decay * at), 1e-4, 10.0))
 
 
-def fit(rows: list[tuple[str, int]], drift: float = 0.1) -> Model:
-    """Log-odds from four fifths of the rows, the extreme-value law and the calibration from the fifth that is held
+def fit(rows: list[tuple[str, int]], prior: float | None = None, drift: float = 0.1) -> Model:
+    """prior: the share of label 1 where the model will be used; the rows' own, if None. Log-odds from four fifths of the rows, the extreme-value law and the calibration from the fifth that is held
     out; then log-odds anew from all rows. Without rows of both classes every score is the share of ones."""
+    rows = unlike(rows)
     y = np.array([r[1] for r in rows])
     if not len(y) or y.min() == y.max():
         return Model({}, drift, 1.0, 1.0, 0.0, 20.0 if len(y) and y[0] else -20.0)
@@ -174,7 +197,8 @@ def fit(rows: list[tuple[str, int]], drift: float = 0.1) -> Model:
     tail(model, [t for t, k in rest if k == 0])
     texts = pa.array([t for t, _ in rest], pa.string())
     x, t = model.logits(texts), np.array([k for _, k in rest], np.float64)
-    model.slope, model.shift = platt(x, t, np.ones(len(t)))
+    share = min(max(y.mean() if prior is None else prior, 1e-3), 1 - 1e-3)
+    model.slope, model.shift = platt(x, t, np.where(t == 1, share / max(1, t.sum()), (1 - share) / max(1, (1 - t).sum())) * len(t))
     model.weights, model.known = log_odds(rows), {}
     return model
 
@@ -189,8 +213,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
+            for stretch in slices(b.column(1)):
+                part = b.slice(*stretch)
                 found, n = model.scored(part.column(1))
                 p = sigmoid(model.judged(found, n))
                 worst = [max(f, key=lambda s: s[2], default=None) for f in found]
@@ -205,13 +229,21 @@ def rejected(model: Model, threshold: float = 0.5) -> Column:
 
     @F.pandas_udf("boolean")
     def judge(texts):
-        return pd.Series(sigmoid(model.logits(pa.array(texts, pa.string(), from_pandas=True))) >= threshold)
+        own = pa.array(texts, pa.string(), from_pandas=True)
+        parts = [sigmoid(model.logits(own.slice(*x))) >= threshold for x in slices(own)]
+        tidy()
+        return pd.Series(np.concatenate(parts) if parts else np.empty(0, bool))
 
     return judge(F.col("text"))
 
 
+def trained(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> Model:
+    """Fitted on a bounded sample of labelled documents, and calibrated for the share that the labels have."""
+    return fit(labelled(docs, labels, "toxic", SAMPLE, eligible), label_share(labels, "toxic", eligible))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = fit(labelled(docs, read(spark, sf_dir, "labels"), "toxic", SAMPLE, remainder(F.col("doc_id"), 5) != 0))
+    model = trained(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 5) != 0)
     held = (remainder(F.col("doc_id"), 5) == 0).alias("held_out")
     return scored(docs, model).select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "n_passages", "worst_begin", "worst_end")
