@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import line_dedup, near_dedup, packing, site_quality, toxicity
-from lamina.llm.common import labelled, read, stored
+from lamina.llm.common import read, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity of under 0.5."""
-    model = toxicity.fit(labelled(docs, read(spark, sf_dir, "labels"), "toxic", toxicity.SAMPLE))
-    return docs.where(~toxicity.rejected(model))
+    return docs.where(~toxicity.rejected(toxicity.trained(docs, read(spark, sf_dir, "labels"))))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without their later repeated runs of lines; n_chars follows the text."""
     out = line_dedup.deduplicated(docs)
-    return out.select(*[F.when(F.col("_lost") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.when(F.col("lines_lost") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _words(line: Column) -> Column:
 
 def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """_row, _lost array<int>: for each row of `docs` (_row long, doc_id, text) that has any, the 0-based numbers of
-    the lines in later repeated runs.
+    the lines in later repeated runs, and of lines without words among them.
 
     A run is a stretch of lines of one document with `words` words or more, lines without any left aside. It is
     repeated if the same lines stand in the same order earlier: in a document with a smaller (doc_id, _row), nulls
@@ -65,12 +65,14 @@ def deduplicated(docs: DataFrame, words: int = WORDS, lost: str = "lines_lost")
     order of rows must be the same each time `docs` is read, as it is for files."""
     own = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
     gone = stored(repeated_lines(own.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text")), words)).withColumnRenamed("_row", "_own")
-    lines = _lines(F.col("_doc.text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lost"))
-    text = F.when(F.col("_lost").isNull(), F.col("_doc.text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     # The plan for large tables, whatever the size: what is lost grows with the documents and isn't broadcast.
     joined = own.join(gone.hint("merge"), F.col("_row") == F.col("_own"), "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns if c != lost], F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias(lost))
+    # Columns of their own, so that a text is split once.
+    joined = joined.withColumn("_lines", F.when(F.col("_lost").isNotNull(), _lines(F.col("_doc.text"))))
+    joined = joined.withColumn("_gone", F.filter("_lost", lambda k: F.trim(F.get("_lines", k)) != ""))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("_doc.text")).otherwise(F.array_join(F.transform(kept, lambda k: F.get("_lines", k)), "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns if c != lost], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias(lost))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,7 @@ w AS (SELECT r, pos AS a, max(pos) OVER f AS z, list(line) OVER f AS c, total -
       WINDOW g AS (PARTITION BY r ORDER BY e RANGE BETWEEN {WORDS - 1} PRECEDING AND CURRENT ROW)),
 q AS (SELECT r, a, z, min((r, a)) OVER (PARTITION BY c) AS f FROM w WHERE whole),
 x AS (SELECT DISTINCT r, unnest(range(a, z + 1)) AS pos FROM q WHERE (r, a) > f),
-y AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE n.r IS NULL OR x.r IS NULL) AS text, count(*) FILTER (WHERE x.r IS NOT NULL) AS lost
+y AS (SELECT l.r, string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE n.r IS NULL OR x.r IS NULL) AS text, count(*) FILTER (WHERE x.r IS NOT NULL AND n.r IS NOT NULL) AS lost
       FROM l LEFT JOIN x ON l.r = x.r AND l.pos = x.pos LEFT JOIN n ON l.r = n.r AND l.pos = n.pos GROUP BY l.r)
 SELECT d.doc_id, y.lost::BIGINT AS lines_lost, CASE WHEN y.lost = 0 THEN d.text ELSE coalesce(y.text, '') END AS text FROM d JOIN y USING (r)
 """

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, read
+from .common import Words, read, slices, tidy
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -34,7 +34,7 @@ class Tokens:
 
     _made: dict[int, Tokens] = {}
 
-    def __init__(self, spec: str, kept: int = 1_000_000):
+    def __init__(self, spec: str, kept: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.most = Tokenizer.from_str(spec), {}, kept
@@ -162,12 +162,13 @@ def packed(docs: DataFrame, spec: str, size: int = 4096, end: int = 2, windows:
 
         tokens, packer = Tokens.of(spec), Packer(size, windows, TaskContext.get().partitionId() << 32)
         for b in batches:
-            for at in range(0, b.num_rows, 2500):
-                part = b.slice(at, 2500)
+            for stretch in slices(b.column(1)):
+                part = b.slice(*stretch)
                 ids, starts = tokens.batch(part.column(1), end)
                 for k, doc in enumerate(part.column(0).to_pylist()):
                     packer.add(doc, ids[starts[k] : starts[k + 1]])
                 yield from packer.taken()
+            tidy()
         packer.finish()
         yield from packer.taken()
 
