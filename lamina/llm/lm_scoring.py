@@ -11,10 +11,8 @@ from .common import Words, mix, read, remainder, segment_sums, stored
 
 #: The token at the end of each text; also the state that each text starts in.
 END = np.uint64(0xE4D0F7E87E4D0F7E)
-#: What stands for all words seen less often than LEAST in training, as a state and as an arc.
-RARE = np.uint64(0x4A4E4A4E4A4E4A4E)
-#: Training count from which on a word has a state and arcs of its own.
-LEAST = 8
+#: Training count from which on a word has a state and arcs of its own: all words that occur in training.
+LEAST = 1
 #: Weight of the lower order: as many occurrences of a state.
 MU = 40.0
 #: Documents in a block, at most.
@@ -45,15 +43,18 @@ class Block:
         self.training = np.repeat(~held, np.diff(self.starts))
 
     def bigrams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the bigrams and each token's place among them. counts: of self.hashes."""
-        own = np.where(counts >= LEAST, self.hashes, RARE)
-        own[np.searchsorted(self.hashes, END)] = END
-        token = own[self.codes]
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[self.starts[:-1]] = END
-        both, place = np.unique(mix(before * np.uint64(3) + mix(token)), return_inverse=True)
-        return both, place.astype(np.int64)
+        """Sorted hashes of the bigrams and each token's place among them, or their number where the token or the one
+        before it isn't in training, so that the bigram can't be either. counts: of self.hashes."""
+        end = int(np.searchsorted(self.hashes, END))
+        before = np.empty_like(self.codes)
+        before[1:] = self.codes[:-1]
+        before[self.starts[:-1]] = end
+        seen = counts >= LEAST
+        live = seen[self.codes] & seen[before]
+        both, found = np.unique(mix(self.hashes[before[live]] * np.uint64(3) + mix(self.hashes[self.codes[live]])), return_inverse=True)
+        place = np.full(len(self.codes), len(both), np.int64)
+        place[live] = found
+        return both, place
 
 
 def _of(batches: pa.Table) -> Block:
@@ -61,7 +62,23 @@ def _of(batches: pa.Table) -> Block:
 
 
 def _bytes(values: np.ndarray, kind: str) -> bytes:
-    return values.astype(kind).tobytes()
+    """The numbers' first bytes, then their second ones and so on: high bytes are mostly 0 and take no space when
+    compressed."""
+    return values.astype(kind).view("u1").reshape(len(values), -1 if len(values) else 1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(size, len(data) // size).T).view(kind).ravel()
+
+
+def _packed(hashes: np.ndarray, shards: int) -> bytes:
+    """Sorted hashes of one shard, without what the shard's number says: the steps from each to the next."""
+    return _bytes(np.diff(hashes // np.uint64(shards), prepend=np.uint64(0)), "<u8")
+
+
+def _unpacked(data: bytes, shard: int, shards: int) -> np.ndarray:
+    return np.cumsum(_numbers(data, "<u8"), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
 
 
 def _split(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
@@ -74,7 +91,7 @@ def _split(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
 
 def _sent(block: int, kind: int, hashes: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
     """A row for each shard that the block needs: its hashes of that shard, in order, and its training counts."""
-    return _table([(block, s, kind, _bytes(hashes[x], "<u8"), _bytes(counts[x], "<u4"), None) for s, x in _split(hashes, shards)])
+    return _table([(block, s, kind, _packed(hashes[x], shards), _bytes(counts[x], "<u4"), None) for s, x in _split(hashes, shards)])
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -83,21 +100,24 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
 
 
-def _summed(key, shard):
+def _summed(shards: int):
     """Of one shard: the total count of each hash, sent back to each block that asked, in its own order, with the
-    shard's totals: tokens, types, tokens of rare types, types seen once."""
-    asked = [(b, np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4")) for b, h, c in zip(shard.column("block").to_pylist(), shard.column("hashes").to_pylist(), shard.column("counts").to_pylist(), strict=True)]
-    kind = shard.column("kind")[0].as_py()
-    everything, place = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate([c for _, _, c in asked]), minlength=len(everything)).astype(np.int64)
-    plain = total[everything != END]
-    known = plain[plain > 0]
-    totals = [float(total.sum()), float((total > 0).sum()), float(known[known < LEAST].sum()), float((known == 1).sum())]
-    rows, at = [], 0
-    for b, h, _ in asked:
-        rows.append((b, key[0].as_py(), kind, b"", _bytes(total[place[at : at + len(h)]], "<u4"), totals))
-        at += len(h)
-    return _table(rows)
+    shard's totals: tokens, types, types seen once."""
+
+    def run(key, shard):
+        number = key[0].as_py()
+        asked = [(b, _unpacked(h, number, shards), _numbers(c, "<u4")) for b, h, c in zip(shard.column("block").to_pylist(), shard.column("hashes").to_pylist(), shard.column("counts").to_pylist(), strict=True)]
+        kind = shard.column("kind")[0].as_py()
+        everything, place = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([c for _, _, c in asked]), minlength=len(everything)).astype(np.int64)
+        totals = [float(total.sum()), float((total > 0).sum()), float((total[everything != END] == 1).sum())]
+        rows, at = [], 0
+        for b, h, _ in asked:
+            rows.append((b, number, kind, b"", _bytes(total[place[at : at + len(h)]], "<u4"), totals))
+            at += len(h)
+        return _table(rows)
+
+    return run
 
 
 def _received(parts: pa.Table, kind: int, hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -105,29 +125,29 @@ def _received(parts: pa.Table, kind: int, hashes: np.ndarray, shards: int) -> np
     counts = {r["shard"]: r["counts"] for r in parts.to_pylist() if r["kind"] == kind}
     out = np.zeros(len(hashes), np.int64)
     for s, x in _split(hashes, shards):
-        out[x] = np.frombuffer(counts[s], "<u4")
+        out[x] = _numbers(counts[s], "<u4")
     return out
 
 
 class Automaton:
-    """The backoff automaton over one block's tokens. States: the words with a count of LEAST or more, RARE, END (where
-    texts start) and the empty history. An arc from state h reads w with weight log10 P(w|h), where
-    P(w|h) = (c(h, w) + MU * P(w)) / (c(h) + MU), if c(h, w) > 0. For other w the failure arc leads to the empty
-    history with weight log10(MU / (c(h) + MU)), and that state's arc reads w with weight log10 P(w). Rare words share
-    one arc, and each has its part of it: P(w) / P(rare). P(w) is (1 - u) * c(w) / N, and u for a word not seen in
-    training, u being the share of words seen once. For each state the probabilities of all words and END sum to 1,
-    words not seen counting as one."""
+    """The backoff automaton over one block's tokens. States: all words seen in training, END (where texts start) and
+    the empty history. An arc from state h reads w with weight log10 P(w|h), where
+    P(w|h) = (c(h, w) + MU * P(w)) / (c(h) + MU), if c(h, w) > 0: each bigram seen has its arc, and how much a low
+    count says is up to the backoff weight. For other w the failure arc leads to the empty history with weight
+    log10(MU / (c(h) + MU)), and that state's arc reads w with weight log10 P(w). P(w) is (1 - u) * c(w) / N, and u for
+    a word not seen in training, u being the share of words seen once. For each state the probabilities of all words
+    and END sum to 1, words not seen counting as one (`rare`; `share` is a word's part of it)."""
 
     def __init__(self, counts: np.ndarray, totals: list[float], hashes: np.ndarray):
-        n, _, rare, once = totals
+        n, *_, once = totals
         end = int(np.searchsorted(hashes, END))
         self.unseen = (once + 0.5) / (n + 1.0)
-        one = np.where(counts > 0, (1 - self.unseen) * counts / max(n, 1.0), self.unseen)
-        is_rare = counts < LEAST
-        is_rare[end] = False
-        self.rare = (1 - self.unseen) * rare / max(n, 1.0) + self.unseen
-        self.unigram, self.share, self.is_rare = np.maximum(one, 1e-300), np.where(is_rare, one / self.rare, 1.0), is_rare
-        self.state = np.where(is_rare, rare, counts).astype(np.float64)
+        self.unigram = np.maximum(np.where(counts > 0, (1 - self.unseen) * counts / max(n, 1.0), self.unseen), 1e-300)
+        self.is_rare = counts < LEAST
+        self.is_rare[end] = False
+        self.rare = self.unseen
+        self.share = np.where(self.is_rare, self.unigram / self.rare, 1.0)
+        self.state = counts.astype(np.float64)
         self.start = float(counts[end])
 
     def traverse(self, block: Block, arcs: np.ndarray) -> np.ndarray:
@@ -137,8 +157,7 @@ class Automaton:
         state = np.empty(len(c))
         state[1:] = self.state[c[:-1]]
         state[block.starts[:-1]] = self.start
-        lower = np.where(self.is_rare[c], self.rare, self.unigram[c])
-        arc = np.log10((arcs + MU * lower) / (state + MU)) + np.log10(np.maximum(self.share[c], 1e-300))
+        arc = np.log10((arcs + MU * self.unigram[c]) / (state + MU))
         failure = np.log10(MU / (state + MU)) + np.log10(self.unigram[c])
         return np.where(arcs > 0, arc, failure)
 
@@ -168,7 +187,7 @@ def _third(shards: int, totals: list[float]):
         block = _of(docs)
         counts = _received(parts, 1, block.hashes, shards)
         both, place = block.bigrams(counts)
-        pairs = _received(parts, 2, both, shards)
+        pairs = np.append(_received(parts, 2, both, shards), 0)
         base = np.log10((counts + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))
         score = Automaton(counts, totals, block.hashes).traverse(block, pairs[place])
         known = (counts > 0)[block.codes].astype(np.int64)
@@ -192,10 +211,10 @@ def scored(docs: DataFrame, held_out: Column, block: int = BLOCK) -> DataFrame:
     own = docs.select(F.shiftright(row, int(np.log2(block))).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8) * 2
     text = own.groupBy("block")
-    one = stored(text.applyInArrow(_first(shards), PARTS).groupBy("shard").applyInArrow(_summed, PARTS))
-    sums = one.groupBy("shard").agg(F.first("totals").alias("t")).agg(*[F.sum(F.get("t", F.lit(k))) for k in range(4)]).first()
+    one = stored(text.applyInArrow(_first(shards), PARTS).groupBy("shard").applyInArrow(_summed(shards), PARTS))
+    sums = one.groupBy("shard").agg(F.first("totals").alias("t")).agg(*[F.sum(F.get("t", F.lit(k))) for k in range(3)]).first()
     totals = [float(x or 0) for x in sums]
-    two = text.cogroup(one.groupBy("block")).applyInArrow(_second(shards), PARTS).groupBy("shard").applyInArrow(_summed, PARTS)
+    two = text.cogroup(one.groupBy("block")).applyInArrow(_second(shards), PARTS).groupBy("shard").applyInArrow(_summed(shards), PARTS)
     return text.cogroup(one.unionByName(two).groupBy("block")).applyInArrow(_third(shards, totals), RESULT)
 
 

@@ -215,6 +215,15 @@ def test_lm(spark, block):
     assert sum(r[6] for r in got) > sum(r[5] for r in got)
 
 
+def test_lm_learns_rare_pairs(spark):
+    """Words seen seven times or once have arcs of their own: a pair seen scores above one of as frequent words that isn't."""
+    train = [(i * 5, "ann bell dove said so") for i in range(7)] + [(50, "eve fox"), (51, "gil")]
+    test = [(100, "ann bell"), (101, "ann dove"), (102, "eve fox"), (103, "eve gil")]
+    docs = frame(spark, train + test)
+    got = {r.doc_id: r.score for r in lm_scoring.scored(docs, F.col("doc_id") >= 100).collect()}
+    assert got[100] > got[101] + 0.1 and got[102] > got[103]
+
+
 def test_lm_edges(spark):
     all_held = F.lit(True)
     got = lm_scoring.scored(frame(spark, [(1, "a b"), (2, None)]), all_held).collect()
