@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import Words, labelled, mix, read, segment_sums, slices
+from .common import Words, label_share, labelled, mix, read, segment_sums, slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -74,4 +74,5 @@ def judged(docs: DataFrame, model: hashed.Model, threshold: float = THRESHOLD) -
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return judged(docs, hashed.fit(labelled(docs, read(spark, sf_dir, "labels"), "quality", SAMPLE), prior=0.8))
+    labels = read(spark, sf_dir, "labels")
+    return judged(docs, hashed.fit(labelled(docs, labels, "quality", SAMPLE), prior=label_share(labels, "quality")))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import labelled, read, slices, stored, tidy
+from .common import label_share, labelled, read, slices, stored, tidy
 
 #: Labelled rows of each class that the document classifier is fitted on, at most.
 SAMPLE = 1200
@@ -102,7 +102,7 @@ def kept(docs: DataFrame, model: hashed.Model, host: str = "source", path: str =
 
 
 def document_model(docs: DataFrame, labels: DataFrame) -> hashed.Model:
-    return hashed.fit(labelled(docs, labels, "quality", SAMPLE), prior=0.8)
+    return hashed.fit(labelled(docs, labels, "quality", SAMPLE), prior=label_share(labels, "quality"))
 
 
 def op9_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,18 @@ def test_quality_held_out(spark):
     assert sum(r.kept == (r.y == 1) for r in held) / len(held) > 0.97
 
 
+def test_quality_prior_is_the_labels_share(spark, tmp_path):
+    """Texts that say nothing are as good as labelled documents are: a fifth here, under the threshold."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{k}" for k in rng.sample(range(500), 60)), "s", "en") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(rng.random() < 0.2)) for i in range(200)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    fresh = lambda df, c: [r[c] for r in df.where("doc_id >= 200").collect()]
+    for df, column in ((quality_rules.op7_quality_rules(spark, str(tmp_path)), "quality"), (site_quality.op9_site_quality(spark, str(tmp_path)), "evidence")):
+        p = fresh(df, column)
+        assert len(p) == 100 and np.mean(p) == pytest.approx(0.2, abs=0.1) and np.mean(fresh(df, "kept")) < 0.2
+
+
 def test_labels_at_odds(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (None, "d")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (None, 1), (2, None), (9, 1)], "doc_id long, quality int")
