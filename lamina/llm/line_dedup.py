@@ -1,4 +1,4 @@
-"""Line dedup: winnowed fingerprints of line runs; later repeated runs go."""
+"""Line dedup: hashes of all windows of lines; later repeated runs go."""
 
 from __future__ import annotations
 
@@ -31,9 +31,8 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     * Each line's hash and count of words. Windows: from each line forward, and from each line backward, as few lines
       as have `words` words.
-    * Winnowing: a window's fingerprint is the least line hash in it, so that every run long enough has the same
-      fingerprints wherever it stands. They are joined by fingerprint and the hash of the window, to the first
-      position of the same. An occurrence meets the first one only, never each other one.
+    * All windows are joined by their hash, and their least line hash as a second key, to the first position of the
+      same; none is selected, so that every run long enough has the same windows wherever it stands. An occurrence meets the first one only, never each other one.
     * Extension: the windows that begin at each line of a run and those that end at each line reach both ends of it,
       whichever earlier document it is repeated from. So the lines covered by repeated windows are just those that
       extending each match both ways, against every earlier occurrence, would give."""
