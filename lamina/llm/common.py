@@ -6,12 +6,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +23,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: What Spark gathers for a Python worker before it sends it, in bytes, unless the session says otherwise.
+BATCH = 4 << 20
+DEFAULT_BATCH = "67108864b"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Makes the package known to workers, and bounds what they are sent at once by bytes instead of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, DEFAULT_BATCH) == DEFAULT_BATCH:
+        spark.conf.set(key, f"{BATCH}b")
+    return shipped(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return shipped(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, for any caller's frame."""
+    prepared(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +67,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Logical nodes whose rows come in the same order whenever they are read.
+_STEADY = {"LogicalRelation", "LogicalRDD", "Project", "Filter", "SubqueryAlias", "View", "LocalRelation", "Range"}
+
+
+def _steady(plan) -> bool:
+    if str(plan.nodeName()).split(" ")[0] not in _STEADY:
+        return False
+    below = plan.children()
+    return all(_steady(below.apply(k)) for k in range(below.size()))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """_doc, all columns of a row; _row, its number. What isn't a plain scan, whose rows come in the same order each
+    time, is stored first, so that a row keeps its number when the frame is read again."""
+    docs = docs if _steady(docs._jdf.queryExecution().analyzed()) else stored(docs)
+    return docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(0))
@@ -59,9 +96,10 @@ def apart(key: Column) -> Column:
     return F.xxhash64(key, F.lit("apart"))
 
 
-def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """(begin, length) of stretches of an array of texts with about `size` bytes each; a longer text has its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+def slices(texts: pa.Array, size: int = 4 << 20, *more: pa.Array) -> Iterator[tuple[int, int]]:
+    """(begin, length) of stretches of an array of texts (or several in step) with about `size` bytes each; a longer
+    text has its own."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (texts, *more)))
     begin = 0
     while begin < len(ends):
         end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
@@ -100,8 +138,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each entry of the vocabulary, the same in every process."""
-        words = self.vocabulary.to_numpy(zero_copy_only=False)
-        return pd.util.hash_array(words.astype(object), categorize=False) if len(words) else np.empty(0, np.uint64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocabulary.cast(pa.large_binary()).to_pylist()), np.uint64, len(self.vocabulary))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

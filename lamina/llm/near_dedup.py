@@ -6,12 +6,11 @@ import hashlib
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Words, apart, mix, read, slices, stored, tidy
+from .common import GOLDEN, Words, apart, in_arrow, mix, numbered, read, slices, stored, tidy
 
 #: Words in a shingle, and the weighted Jaccard similarity from which on two documents are linked.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -110,18 +109,16 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(rows, pa.binary())], ["_row", "doc_id", "key", "bands", "rows"])
             tidy()
 
-    return docs.select("_row", "doc_id", "text").mapInArrow(run, f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>, rows binary")
+    return in_arrow(docs.select("_row", "doc_id", "text"), run, f"_row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>, rows binary")
 
 
 def _alike(x: str, y: str) -> Column:
     """Whether the signatures in two columns agree well enough to be verified."""
 
-    @F.pandas_udf("boolean")
-    def agree(p: pd.Series, q: pd.Series) -> pd.Series:
-        if not len(p):
-            return pd.Series([], dtype=bool)
-        one, two = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (p, q))
-        return pd.Series((one == two).sum(axis=1) >= AGREE)
+    @F.arrow_udf("boolean")
+    def agree(p: pa.Array, q: pa.Array) -> pa.Array:
+        one, two = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(len(s), BANDS * ROWS) for s in (p, q))
+        return pa.array((one == two).sum(axis=1) >= AGREE)
 
     return agree(F.col(x), F.col(y))
 
@@ -133,19 +130,20 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 class _Sets:
-    """The multisets of nodes' shingles, kept while a node comes again and again."""
+    """The multisets of nodes' shingles, kept while a node comes again and again, `most` bytes of them."""
 
-    def __init__(self, most: int = 2000):
-        self.kept, self.most = {}, most
+    def __init__(self, most: int = 16 << 20):
+        self.kept, self.size, self.most = {}, 0, most
 
     def of(self, nodes: list[int], texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(self.kept) > self.most:
-            self.kept.clear()
+        if self.size > self.most:
+            self.kept, self.size = {}, 0
         new = {node: i for i, node in enumerate(nodes) if node not in self.kept}
         if new:
             words = Words(texts.take(pa.array(list(new.values()))))
             each = words.hashes()[words.codes] if len(words.codes) else np.empty(0, np.uint64)
             self.kept |= {node: shingles(each[words.starts[k] : words.starts[k + 1]]) for k, node in enumerate(new)}
+            self.size += 16 * len(each) + 500 * len(new)
         return [self.kept[node] for node in nodes]
 
 
@@ -155,15 +153,15 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     def run(batches):
         sets = _Sets()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for stretch in slices(batch.column(2), 1 << 20, batch.column(3)):
+                part = batch.slice(*stretch)
                 both = [sets.of(part.column(c).to_pylist(), part.column(c + 2)) for c in (0, 1)]
                 j = np.array([similarity(x, y) for x, y in zip(*both, strict=True)], np.float64)
                 fit = pa.array(j >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(fit), part.column(1).filter(fit), pa.array(j).filter(fit)], ["a", "b", "j"])
         tidy()
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, j double")
+    return in_arrow(_with_texts(pairs, texts), run, "a long, b long, j double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,15 +192,15 @@ def _elements(texts: DataFrame) -> DataFrame:
     def run(batches):
         sets = _Sets(0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for stretch in slices(batch.column(1), 1 << 20):
+                part = batch.slice(*stretch)
                 nodes = part.column(0).to_pylist()
                 own = [_members(*x) for x in sets.of(nodes, part.column(1))]
                 sizes = np.array([len(x) for x in own], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes, sizes), pa.int64()), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(own))], ["node", "n", "element"])
         tidy()
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, element long")
+    return in_arrow(texts.select("node", "text"), run, "node long, n long, element long")
 
 
 def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,8 +210,8 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         sets = _Sets()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for stretch in slices(batch.column(2), 1 << 20, batch.column(3)):
+                part = batch.slice(*stretch)
                 both = [sets.of(part.column(c).to_pylist(), part.column(c + 2)) for c in (0, 1)]
                 own = [tuple(_members(*x) for x in two) for two in zip(*both, strict=True)]
                 apart_ = [np.setxor1d(x, y, assume_unique=True) for x, y in own]
@@ -222,7 +220,7 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(c, sizes), pa.int64()) for c in columns], pa.array(np.concatenate(apart_))], ["a", "b", "n", "m", "d", "element"])
         tidy()
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, n long, m long, d long, element long")
+    return in_arrow(_with_texts(pairs, texts), run, "a long, b long, n long, m long, d long, element long")
 
 
 def _ranked(rows: DataFrame, keys: list[str], *figures: str) -> DataFrame:
@@ -333,8 +331,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Of each class of `docs` (see classes), the row that stands for it; all columns as they are, whatever they are
-    called. The order of rows must be the same each time `docs` is read, as it is for files."""
-    own = docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row"))
+    called."""
+    own = numbered(docs)
     gone = classes(own.select("_row", F.col("_doc.doc_id").cast("long").alias("doc_id"), F.col("_doc.text").alias("text"))).where("_row <> class_row").select("_row")
     return own.join(stored(gone).hint("merge"), "_row", "left_anti").select("_doc.*")
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import Words, label_share, labelled, mix, read, segment_sums, slices
+from .common import Words, in_arrow, label_share, labelled, mix, read, segment_sums, slices
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -69,7 +69,7 @@ def judged(docs: DataFrame, model: hashed.Model, threshold: float = THRESHOLD) -
                 p = hashed.sigmoid(model.logits(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.int64()) for x in c.values()], pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, SCHEMA)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")), run, SCHEMA)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

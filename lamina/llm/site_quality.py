@@ -5,13 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import label_share, labelled, read, slices, stored, tidy
+from .common import label_share, labelled, prepared, read, slices, stored, tidy
 
 #: Labelled rows of each class that the document classifier is fitted on, at most.
 SAMPLE = 1200
@@ -22,12 +22,12 @@ THRESHOLD = 0.3
 def evidence(model: hashed.Model) -> Column:
     """The document classifier's probability for column `text`; a null text counts as empty."""
 
-    @F.pandas_udf("double")
-    def judge(texts: pd.Series) -> pd.Series:
-        own = pa.array(texts.fillna(""), pa.string())
+    @F.arrow_udf("double")
+    def judge(texts: pa.Array) -> pa.Array:
+        own = pc.fill_null(texts, "")
         parts = [hashed.sigmoid(model.logits(own.slice(*x))) for x in slices(own)]
         tidy()
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0))
+        return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return judge(F.col("text"))
 
@@ -83,6 +83,7 @@ def _place(host: str, path: str) -> list[Column]:
 def judged(docs: DataFrame, model: hashed.Model, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, host, path, evidence, posterior, kept of every row of `docs`. Texts are read once; what is exchanged is
     numbers. An empty table gives none."""
+    prepared(docs.sparkSession)
     scores = stored(docs.select("doc_id", *_place(host, path), evidence(model).alias("_p")))
     known = sites(scores)
     site = known.table.withColumnRenamed("_host", "_h").withColumnRenamed("_path", "_t")
@@ -92,10 +93,11 @@ def judged(docs: DataFrame, model: hashed.Model, host: str = "source", path: str
 
 
 def kept(docs: DataFrame, model: hashed.Model, host: str = "source", path: str = "lang", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that judged() keeps, with their own columns, whatever they are called. Texts are read twice
-    and, if Spark finds the table of sites small, not exchanged."""
-    known = sites(docs.select(*_place(host, path), evidence(model).alias("_p")))
-    own = docs.select(F.struct("*").alias("_doc"), *_place(host, path), evidence(model).alias("_p"))
+    """The rows of `docs` that judged() keeps, with their own columns, whatever they are called. Rows are judged
+    once, and stored with their evidence; if Spark finds the table of sites small, they are not exchanged."""
+    prepared(docs.sparkSession)
+    own = stored(docs.select(F.struct("*").alias("_doc"), *_place(host, path), evidence(model).alias("_p")))
+    known = sites(own.select("_host", "_path", "_p"))
     site = known.table.withColumnRenamed("_host", "_h").withColumnRenamed("_path", "_t")
     joined = own.join(site, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_t")))
     return joined.where(known.posterior(F.col("_p")) >= threshold).select("_doc.*")

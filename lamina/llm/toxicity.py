@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, label_share, labelled, mix, read, remainder, slices, tidy
+from .common import Words, in_arrow, label_share, labelled, mix, read, remainder, slices, tidy
 from .hashed import platt, sigmoid
 
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -78,21 +77,16 @@ class Model:
 
     def surprise(self, found: list[tuple[int, int, float]], n: int) -> float:
         """Minus the log10 of the chance that a clean text of n words has segments like these: of Karlin and Altschul's
-        law for the sums of the r best segments, the least likely r of up to 5."""
-        best, least = sorted((s for _, _, s in found), reverse=True)[:5], 0.0
-        total, factor = 0.0, 1.0
-        for r, s in enumerate(best, 1):
-            total += self.decay * s - np.log(self.constant * max(n, 20))
-            factor *= r
-            if r == 1:
-                e = min(700.0, total)
-                log_p = np.log(-np.expm1(-np.exp(-e))) if e < 30 else -e
-            elif total > 0:
-                log_p = -total + (r - 1) * np.log(max(total, 1e-9)) - np.log(factor) - np.log(factor / r)
-            else:
-                continue
-            least = min(least, log_p)
-        return min(40.0, -least / np.log(10))
+        law for the sums of the r best segments, the least likely r."""
+        best = np.sort([s for _, _, s in found])[::-1]
+        if not len(best):
+            return 0.0
+        total, log_r = np.cumsum(self.decay * best - np.log(self.constant * max(n, 20))), np.log(np.arange(1, len(best) + 1))
+        e = min(700.0, float(total[0]))
+        least = min(0.0, float(np.log(-np.expm1(-np.exp(-e))) if e < 30 else -e))
+        log_p = -total + np.arange(len(best)) * np.log(np.maximum(total, 1e-9)) - 2 * np.cumsum(log_r) + log_r
+        more = log_p[1:][total[1:] > 0]
+        return min(40.0, -min(least, float(more.min(initial=0.0))) / np.log(10))
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         return self.judged(*self.scored(texts))
@@ -203,12 +197,14 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None, drift: float =
     return model
 
 
-SCORES = "doc_id long, score double, n_passages int, worst_begin int, worst_end int"
+PASSAGES = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+SCORES = "doc_id long, score double, n_passages int, worst_begin int, worst_end int, passages array<struct<begin:int,end:int,score:double>>"
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (the calibrated probability of label 1), n_passages (significant ones: expected less than once in
-    a hundred clean texts), worst_begin and worst_end (words of the highest scoring one; null if none). Each row of
+    a hundred clean texts), worst_begin and worst_end (words of the highest scoring segment; null if none), passages (the
+    significant ones in order: begin and end in words, score). Each row of
     `docs` gives one row; a null text counts as empty, and an empty one has no passage. Nothing is shuffled."""
 
     def run(batches):
@@ -218,21 +214,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 found, n = model.scored(part.column(1))
                 p = sigmoid(model.judged(found, n))
                 worst = [max(f, key=lambda s: s[2], default=None) for f in found]
-                sure = [sum(1 for s in f if model.decay * s[2] - np.log(model.constant * max(int(k), 20)) > np.log(100)) for f, k in zip(found, n, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(sure, pa.int32()), pa.array([w and w[0] for w in worst], pa.int32()), pa.array([w and w[1] for w in worst], pa.int32())], [x.split()[0] for x in SCORES.split(", ")])
+                sure = [[x for x in f if model.decay * x[2] - np.log(model.constant * max(int(k), 20)) > np.log(100)] for f, k in zip(found, n, strict=True)]
+                columns = [part.column(0), pa.array(p), pa.array([len(x) for x in sure], pa.int32()), *[pa.array([w and w[k] for w in worst], pa.int32()) for k in (0, 1)], pa.array([[dict(zip(("begin", "end", "score"), x, strict=True)) for x in own] for own in sure], PASSAGES)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "n_passages", "worst_begin", "worst_end", "passages"])
+            tidy()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, SCORES)
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")), run, SCORES)
 
 
 def rejected(model: Model, threshold: float = 0.5) -> Column:
     """Of column `text`: whether it is toxic. For filters that keep the other columns."""
 
-    @F.pandas_udf("boolean")
-    def judge(texts):
-        own = pa.array(texts, pa.string(), from_pandas=True)
-        parts = [sigmoid(model.logits(own.slice(*x))) >= threshold for x in slices(own)]
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = [sigmoid(model.logits(texts.slice(*x))) >= threshold for x in slices(texts)]
         tidy()
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0, bool))
+        return pa.array(np.concatenate(parts) if parts else np.empty(0, bool))
 
     return judge(F.col("text"))
 

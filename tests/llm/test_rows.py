@@ -61,6 +61,23 @@ def test_bpe_pieces():
         assert [i for p in parts for i in plain.encode_ordinary(p)] == plain.encode_ordinary(t)
 
 
+def test_bpe_long_blanks():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        codec = bpe.Codec(f.read())
+    rng = random.Random(4)
+    units = ["ab", " ", "\n", "\u3000", "\x1c", "\x85", "1", "!", "\u00e9 ", " " * 4097, "\n" * 4096, "\t \n" * 1500, "word, " * 20000]
+    for _ in range(150):
+        t = "".join(rng.choices(units, k=rng.randint(1, 6)))
+        assert codec.encode(t).tolist() == codec.encoding.encode_ordinary(t)
+    # Beyond what the library takes at once: a run before something visible gives its last character away.
+    for blank in (" ", "\n", " \n\t"):
+        run = blank * (2_000_000 // len(blank))
+        ids = codec.encode(f"a{run}b")
+        alone = [i for part in ("a", run[:-1], run[-1] + "b") for i in (codec.whole if len(part) > 9 else codec.encoding).encode_ordinary(part)]
+        assert ids.tolist() == alone and codec.decode(ids) == f"a{run}b".encode()
+        assert codec.decode(codec.encode(run)) == run.encode()
+
+
 def whole_ids(tokenizer, text):
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
 
@@ -98,6 +115,58 @@ def test_packing(spark, odd, none):
     assert packing.packed(none, spec).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 8, 64])
+def test_packing_short_sequences(spark, partitions):
+    """However many partitions there are, the rest of one group is all that is cut into powers of two."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["alpha", "Beta,", "gamma."], k=rng.randint(1, 300)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = packing.packed(docs, packing.tokenizer_spec(), 256, windows=4, together=4).collect()
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    sizes = []
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        sizes.append(at)
+    short = [n for n in sizes if n < 256]
+    assert len(short) <= 8 and all(n & (n - 1) == 0 for n in sizes)
+    ids = {}
+    for r in got:
+        ids.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    for parts in ids.values():
+        at = 0
+        for start, length, total in sorted(parts):
+            assert start == at
+            at += length
+        assert at == total
+
+
+def test_packing_other_rules(spark):
+    """A tokenizer with other rules encodes whole texts."""
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    tokens, texts = packing.Tokens(spec), ["a b  c\n d", None, "", "\u00e9 " * 3000]
+    assert not tokens.by_words
+    ids, starts = tokens.batch(pa.array(texts), 2)
+    for k, t in enumerate(texts):
+        assert ids[starts[k] : starts[k + 1]].tolist() == [*Tokenizer.from_str(spec).encode(t or "", add_special_tokens=False).ids, 2]
+
+
+def test_words_table_is_bounded():
+    tokens = packing.Tokens(packing.tokenizer_spec(), kept=50)
+    for k in range(30):
+        texts = [" ".join(f"word{j}" for j in range(k, k + 30)), "word1 word2"]
+        ids, starts = tokens.batch(pa.array(texts), 2)
+        assert len(tokens.words) <= 50
+        assert ids[: starts[1]].tolist() == whole_ids(tokens.tokenizer, texts[0])
+
+
 def test_best_fit():
     p = packing.Packer(8, windows=2)
     for doc, n in enumerate((5, 3, 6, 2, 7)):
