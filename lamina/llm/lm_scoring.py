@@ -1,4 +1,4 @@
-"""LM scoring: a weighted backoff automaton over smoothed bigrams, its counts kept in shards."""
+"""LM scoring: a weighted backoff automaton over smoothed n-grams, its counts kept in shards."""
 
 from __future__ import annotations
 
@@ -7,60 +7,60 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, read, remainder, segment_sums, stored
+from .common import Words, in_arrow, mix, read, remainder, segment_sums, slices, tidy
 
 #: The token at the end of each text; also the state that each text starts in.
 END = np.uint64(0xE4D0F7E87E4D0F7E)
-#: Training count from which on a word has a state and arcs of its own: all words that occur in training.
-LEAST = 1
-#: Weight of the lower order: as many occurrences of a state.
-MU = 40.0
-#: Documents in a block, at most.
-BLOCK = 4096
-
-PARTS = "block long, shard int, kind int, hashes binary, counts binary, totals array<double>"
+#: Words in the longest n-gram.
+ORDER = 3
+#: Weight of the next lower order, by the order of the n-gram: as many occurrences of its history. Chosen by the
+#: probability of texts held out.
+MU = {2: 320.0, 3: 5.0}
+#: Bytes of text in a block, about; bytes of hashes in a shard, about; bytes that a task reads, about.
+BLOCK, SHARD, TASK = 4 << 20, 8 << 20, 32 << 20
+#: Distinct n-grams of a block for each token in it, by their order, about.
+SHARE = {1: 0.1, 2: 0.5, 3: 1.0}
 
 
 class Block:
     """The tokens of one block's texts: `codes` into `hashes` (sorted, END among them), text after text, an end after
     each; `starts`; `training`, whether each token is of a training text."""
 
-    def __init__(self, texts: pa.Array, held: np.ndarray):
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, held: np.ndarray):
+        self.hashes, self.codes, self.starts, self.held = hashes, codes, starts, held
+        self.training = np.repeat(~held, np.diff(starts))
+
+    @classmethod
+    def of(cls, texts: pa.Array, held: np.ndarray) -> Block:
         words = Words(texts, lower=True)
-        n = len(words.counts)
         raw = words.hashes()
-        order = np.argsort(raw)
-        self.hashes = np.append(raw[order], END)
-        self.hashes.sort()
-        place = np.searchsorted(self.hashes, raw)
-        self.starts = words.starts + np.arange(n + 1)
-        self.codes = np.empty(len(words.codes) + n, np.int64)
-        ends = self.starts[1:] - 1
-        self.codes[ends] = np.searchsorted(self.hashes, END)
-        inner = np.ones(len(self.codes), bool)
-        inner[ends] = False
-        self.codes[inner] = place[words.codes]
-        self.training = np.repeat(~held, np.diff(self.starts))
-
-    def bigrams(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the bigrams and each token's place among them, or their number where the token or the one
-        before it isn't in training, so that the bigram can't be either. counts: of self.hashes."""
-        end = int(np.searchsorted(self.hashes, END))
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[self.starts[:-1]] = end
-        seen = counts >= LEAST
-        live = seen[self.codes] & seen[before]
-        both, found = np.unique(mix(self.hashes[before[live]] * np.uint64(3) + mix(self.hashes[self.codes[live]])), return_inverse=True)
+        hashes = np.unique(np.append(raw, END))
+        starts = words.starts + np.arange(len(words.starts))
+        codes = np.full(int(starts[-1]), np.searchsorted(hashes, END), np.int64)
+        inner = np.ones(len(codes), bool)
+        inner[starts[1:] - 1] = False
+        codes[inner] = np.searchsorted(hashes, raw)[words.codes]
+        return cls(hashes, codes, starts, held)
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted hashes of the n-grams of an order, and each token's place among them: of the n-gram that ends with
+        it. Before a text's first word stands one END. A token with fewer before it has none: the number of hashes."""
+        if order == 1:
+            return self.hashes, self.codes
+        h, has = mix(self.hashes)[self.codes], np.arange(len(self.codes)) - np.repeat(self.starts[:-1], np.diff(self.starts)) >= order - 2
+        key = h
+        for back in range(1, order):
+            before = np.empty_like(h)
+            before[back:] = h[:-back] if back < len(h) else h[:0]
+            at = self.starts[:-1] + back - 1
+            before[at[at < np.append(self.starts[1:], 0)[: len(at)]]] = mix(np.array([END]))[0]
+            key = mix(key * np.uint64(3) ^ before)
+        both, found = np.unique(key[has], return_inverse=True)
         place = np.full(len(self.codes), len(both), np.int64)
-        place[live] = found
+        place[has] = found
         return both, place
 
 
-def _of(batches: pa.Table) -> Block:
-    return Block(batches.column("text").combine_chunks(), batches.column("held").to_numpy().astype(bool))
-
-
 def _bytes(values: np.ndarray, kind: str) -> bytes:
     """The numbers' first bytes, then their second ones and so on: high bytes are mostly 0 and take no space when
     compressed."""
@@ -72,153 +72,213 @@ def _numbers(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(size, len(data) // size).T).view(kind).ravel()
 
 
-def _packed(hashes: np.ndarray, shards: int) -> bytes:
-    """Sorted hashes of one shard, without what the shard's number says: the steps from each to the next."""
-    return _bytes(np.diff(hashes // np.uint64(shards), prepend=np.uint64(0)), "<u8")
+def _packed(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the steps from each to the next."""
+    return _bytes(np.diff(hashes, prepend=np.uint64(0)), "<u8")
 
 
-def _unpacked(data: bytes, shard: int, shards: int) -> np.ndarray:
-    return np.cumsum(_numbers(data, "<u8"), dtype=np.uint64) * np.uint64(shards) + np.uint64(shard)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, "<u8"), dtype=np.uint64)
 
 
-def _split(hashes: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """The shards that have any of `hashes`, and where theirs are, in order."""
-    shard = (hashes % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order])) + 1
-    return [(int(shard[x[0]]), x) for x in np.split(order, cuts) if len(x)]
+def _split(hashes: np.ndarray, shards: int) -> list[tuple[int, slice]]:
+    """The shards that have any of the sorted `hashes`, in order, and where theirs are: a shard is a range of hashes."""
+    shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+    return [(int(shard[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
-def _sent(block: int, kind: int, hashes: np.ndarray, counts: np.ndarray, shards: int) -> pa.Table:
-    """A row for each shard that the block needs: its hashes of that shard, in order, and its training counts."""
-    return _table([(block, s, kind, _packed(hashes[x], shards), _bytes(counts[x], "<u4"), None) for s, x in _split(hashes, shards)])
+#: Rows on their way. key: where a row goes, a shard of an order, or for texts (kind 0) a place of their own. kind: the
+#: n-grams' order. data: packed hashes and counts; of texts, hashes, ranks of tokens, doc_ids and flags.
+PARTS = "key long, block long, kind int, shard int, a binary, b binary, c binary, d binary"
+_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.float64()))
-    columns = list(zip(*rows, strict=True)) or [[] for _ in types]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in PARTS.split(", ")])
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _TYPES]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def _summed(shards: int):
-    """Of one shard: the total count of each hash, sent back to each block that asked, in its own order, with the
-    shard's totals: tokens, types, types seen once."""
+def _asked(number: int, block: Block, kind: int, shards: int) -> list[tuple]:
+    """A row for each shard that the block's n-grams of an order belong to: their hashes, and their training counts."""
+    hashes, place = block.grams(kind)
+    counts = np.bincount(place[block.training], minlength=len(hashes) + 1)
+    return [((kind << 40) + s, number, kind, s, _packed(hashes[x]), _bytes(counts[:-1][x], "<u4"), None, None) for s, x in _split(hashes, shards)]
 
-    def run(key, shard):
-        number = key[0].as_py()
-        asked = [(b, _unpacked(h, number, shards), _numbers(c, "<u4")) for b, h, c in zip(shard.column("block").to_pylist(), shard.column("hashes").to_pylist(), shard.column("counts").to_pylist(), strict=True)]
-        kind = shard.column("kind")[0].as_py()
-        everything, place = np.unique(np.concatenate([h for _, h, _ in asked]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([c for _, _, c in asked]), minlength=len(everything)).astype(np.int64)
-        totals = [float(total.sum()), float((total > 0).sum()), float((total[everything != END] == 1).sum())]
-        rows, at = [], 0
-        for b, h, _ in asked:
-            rows.append((b, number, kind, b"", _bytes(total[place[at : at + len(h)]], "<u4"), totals))
-            at += len(h)
-        return _table(rows)
 
-    return run
+def _texts(number: int, block: Block, ids: pa.Array) -> tuple:
+    """The row of a block's texts: words by rank of frequency, most of which take one byte."""
+    order = np.argsort(-np.bincount(block.codes, minlength=len(block.hashes)), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    known = np.asarray(ids.is_valid())
+    flags = block.held.astype("u1") | (~known).astype("u1") << 1
+    return (-1 - number, number, 0, 0, block.hashes[order].tobytes(), _bytes(rank[block.codes], "<u4"), _bytes(ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8"), flags.tobytes())
 
 
-def _received(parts: pa.Table, kind: int, hashes: np.ndarray, shards: int) -> np.ndarray:
-    """The total counts of `hashes`."""
-    counts = {r["shard"]: r["counts"] for r in parts.to_pylist() if r["kind"] == kind}
-    out = np.zeros(len(hashes), np.int64)
-    for s, x in _split(hashes, shards):
-        out[x] = _numbers(counts[s], "<u4")
-    return out
+def _block(row: dict) -> tuple[Block, pa.Array]:
+    """What _texts() has put away."""
+    flags, hashes = np.frombuffer(row["d"], "u1"), np.frombuffer(row["a"], np.uint64)
+    order = np.argsort(hashes)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    codes = place[_numbers(row["b"], "<u4")]
+    hashes = hashes[order]
+    starts = np.concatenate(([0], np.flatnonzero(codes == np.searchsorted(hashes, END)) + 1))
+    return Block(hashes, codes, starts, (flags & 1).astype(bool)), pa.array(_numbers(row["c"], "<i8"), mask=(flags & 2).astype(bool))
 
 
-class Automaton:
-    """The backoff automaton over one block's tokens. States: all words seen in training, END (where texts start) and
-    the empty history. An arc from state h reads w with weight log10 P(w|h), where
-    P(w|h) = (c(h, w) + MU * P(w)) / (c(h) + MU), if c(h, w) > 0: each bigram seen has its arc, and how much a low
-    count says is up to the backoff weight. For other w the failure arc leads to the empty history with weight
-    log10(MU / (c(h) + MU)), and that state's arc reads w with weight log10 P(w). P(w) is (1 - u) * c(w) / N, and u for
-    a word not seen in training, u being the share of words seen once. For each state the probabilities of all words
-    and END sum to 1, words not seen counting as one (`rare`; `share` is a word's part of it)."""
-
-    def __init__(self, counts: np.ndarray, totals: list[float], hashes: np.ndarray):
-        n, *_, once = totals
-        end = int(np.searchsorted(hashes, END))
-        self.unseen = (once + 0.5) / (n + 1.0)
-        self.unigram = np.maximum(np.where(counts > 0, (1 - self.unseen) * counts / max(n, 1.0), self.unseen), 1e-300)
-        self.is_rare = counts < LEAST
-        self.is_rare[end] = False
-        self.rare = self.unseen
-        self.share = np.where(self.is_rare, self.unigram / self.rare, 1.0)
-        self.state = counts.astype(np.float64)
-        self.start = float(counts[end])
-
-    def traverse(self, block: Block, arcs: np.ndarray) -> np.ndarray:
-        """Log10 of each token's probability, from left to right. arcs: training counts of each token's bigram. The
-        state is the last word read, so that all steps of all texts are taken at once."""
-        c = block.codes
-        state = np.empty(len(c))
-        state[1:] = self.state[c[:-1]]
-        state[block.starts[:-1]] = self.start
-        arc = np.log10((arcs + MU * self.unigram[c]) / (state + MU))
-        failure = np.log10(MU / (state + MU)) + np.log10(self.unigram[c])
-        return np.where(arcs > 0, arc, failure)
-
-
-def _first(shards: int):
-    def run(key, docs):
-        block = _of(docs)
-        return _sent(key[0].as_py(), 1, block.hashes, np.bincount(block.codes[block.training], minlength=len(block.hashes)), shards)
+def _blocks(batches):
+    """Number, tokens and ids of the blocks of a partition: as many texts in a row as have BLOCK bytes."""
+    from pyspark import TaskContext
 
-    return run
+    number = TaskContext.get().partitionId() << 32
+    for b in batches:
+        for stretch in slices(b.column(2), BLOCK):
+            part = b.slice(*stretch)
+            yield number, Block.of(part.column(2), part.column(1).to_numpy(zero_copy_only=False).astype(bool)), part.column(0)
+            number += 1
+        tidy()
 
 
-def _second(shards: int):
-    def run(key, docs, parts):
-        block = _of(docs)
-        both, place = block.bigrams(_received(parts, 1, block.hashes, shards))
-        return _sent(key[0].as_py(), 2, both, np.bincount(place[block.training], minlength=len(both)), shards)
+def _sum(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of one shard: the distinct hashes, their total counts, and the place of each row's hashes among them."""
+    asked = [_unpacked(r["a"]) for r in rows]
+    everything, place = np.unique(np.concatenate(asked), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate([_numbers(r["b"], "<u4") for r in rows]), minlength=len(everything)).astype(np.int64)
+    return everything, total, place
 
-    return run
+
+TOTALS = "tokens double, types double, once double, n_all double"
+
+
+def totals(own: DataFrame, shards: int) -> list[float]:
+    """Of the training texts: tokens, types, types seen once (END aside); of all texts: tokens."""
+
+    def ask(batches):
+        for number, block, _ in _blocks(batches):
+            rows = _asked(number, block, 1, shards)
+            yield _table([(*r[:6], np.int64(len(block.codes) if not k else 0).tobytes(), None) for k, r in enumerate(rows)])
+
+    def add(key, rows):
+        rows = rows.to_pylist()
+        hashes, total, _ = _sum(rows)
+        found = [total.sum(), (total > 0).sum(), (total[hashes != END] == 1).sum(), sum(int(np.frombuffer(r["c"], np.int64)[0]) for r in rows)]
+        return pa.table([pa.array([float(x)]) for x in found], names=[x.split()[0] for x in TOTALS.split(", ")])
+
+    sums = in_arrow(own, ask, PARTS).groupBy("key").applyInArrow(add, TOTALS).groupBy().sum().first()
+    return [float(x or 0) for x in sums]
+
+
+class Automaton:
+    """The backoff automaton over one block's n-grams. States are the histories seen in training, of up to two words,
+    and the empty one; texts start in the state END. An arc from state h reads w, if the n-gram hw was seen, with weight
+    log10 P(w|h), where P(w|h) = (c(hw) + mu * P(w|h')) / (c(h) + mu), h' being h without its first word, and mu that of
+    the order. For other w, the failure arc of h leads to h', with weight log10(mu / (c(h) + mu)), where w is tried
+    again; of a history that wasn't seen, it weighs nothing. The empty state has an arc for every w: P(w) is
+    (1 - u) * c(w) / N, and u for a word not seen in training, u being the share of words seen once. For each state the
+    probabilities of all words and END sum to 1, words not seen counting as one."""
+
+    def __init__(self, figures: list[float], mu: dict[int, float] = MU):
+        n, _, once, *_ = figures
+        self.unseen, self.n, self.mu = (once + 0.5) / (n + 1.0), n, mu
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return np.maximum(np.where(counts > 0, (1 - self.unseen) * counts / max(self.n, 1.0), self.unseen), 1e-300)
+
+    def traverse(self, block: Block, counts: dict[int, np.ndarray]) -> np.ndarray:
+        """Log10 of each token's probability. counts: by order, of the n-gram that ends with each token, and 0 where
+        there is none. Texts are read from left to right. The state that a token is read in follows from the one before
+        it: the longest history that ends there; so the first step of all tokens can be taken at once, and then their
+        failure arcs, one order after another."""
+        before = {order: np.zeros(len(block.codes)) for order in range(1, ORDER)}
+        for order, c in before.items():
+            c[1:] = counts[order][:-1]
+            c[block.starts[:-1]] = 0
+        before[1][block.starts[:-1]] = self.ends
+        p = {1: self.unigram(counts[1])}
+        for order in range(2, ORDER + 1):
+            p[order] = (counts[order] + self.mu[order] * p[order - 1]) / (before[order - 1] + self.mu[order])
+        score, reading = np.zeros(len(block.codes)), np.ones(len(block.codes), bool)
+        for order in range(ORDER, 1, -1):
+            arc = reading & (counts[order] > 0)
+            score[arc] += np.log10(p[order][arc])
+            reading &= ~arc
+            score[reading] += np.log10(self.mu[order] / (before[order - 1][reading] + self.mu[order]))
+        score[reading] += np.log10(p[1][reading])
+        return score
+
+    ends: float = 0.0
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _third(shards: int, totals: list[float]):
-    def run(key, docs, parts):
-        block = _of(docs)
-        counts = _received(parts, 1, block.hashes, shards)
-        both, place = block.bigrams(counts)
-        pairs = np.append(_received(parts, 2, both, shards), 0)
-        base = np.log10((counts + 0.5) / (totals[0] + 0.5 * (totals[1] + 1)))
-        score = Automaton(counts, totals, block.hashes).traverse(block, pairs[place])
-        known = (counts > 0)[block.codes].astype(np.int64)
-        columns = [docs.column("doc_id").cast(pa.int64()), docs.column("held").cast(pa.bool_()), pa.array(np.diff(block.starts)), pa.array(segment_sums(known, block.starts)), pa.array(np.full(len(docs), int(totals[0]), np.int64)), pa.array(segment_sums(base[block.codes], block.starts)), pa.array(segment_sums(score, block.starts))]
+def _scores(figures: list[float]):
+    def run(key, rows):
+        rows = rows.to_pylist()
+        block, ids = _block(next(r for r in rows if r["kind"] == 0))
+        counts, end = {}, int(np.searchsorted(block.hashes, END))
+        automaton = Automaton(figures)
+        for order in range(1, ORDER + 1):
+            found = [_numbers(r["b"], "<u4") for r in sorted((r for r in rows if r["kind"] == order), key=lambda r: r["shard"])]
+            hashes, place = block.grams(order)
+            each = np.append(np.concatenate(found) if found else np.empty(0, np.int64), 0).astype(np.int64)
+            if len(each) != len(hashes) + 1:
+                raise RuntimeError("counts are missing")
+            counts[order] = each[place]
+            if order == 1:
+                automaton.ends = float(each[end])
+        n, types, *_ = figures
+        base = np.log10((counts[1] + 0.5) / (n + 0.5 * (types + 1)))
+        score = automaton.traverse(block, counts)
+        known = (counts[1] > 0).astype(np.int64)
+        columns = [ids, pa.array(block.held), pa.array(np.diff(block.starts)), pa.array(segment_sums(known, block.starts)), pa.array(np.full(len(ids), int(n), np.int64)), pa.array(segment_sums(base, block.starts)), pa.array(segment_sums(score, block.starts))]
         return pa.table(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
     return run
 
 
-def scored(docs: DataFrame, held_out: Column, block: int = BLOCK) -> DataFrame:
-    """RESULT for every row of `docs` (doc_id, text): a bigram model and an add-half unigram base are learned from the
+def _added(key, rows):
+    """Of one shard: the total count of each hash, sent back to each block that asked, in its own order. Texts pass."""
+    if key[0].as_py() < 0:
+        return rows.select(_NAMES)
+    rows, out, at = rows.to_pylist(), [], 0
+    _, total, place = _sum(rows)
+    for r in rows:
+        n = len(r["b"]) // 4
+        out.append((r["key"], r["block"], r["kind"], r["shard"], None, _bytes(total[place[at : at + n]], "<u4"), None, None))
+        at += n
+    return pa.Table.from_batches([_table(out)])
+
+
+def scored(docs: DataFrame, held_out: Column) -> DataFrame:
+    """RESULT for every row of `docs` (doc_id, text): a trigram model and an add-half unigram base are learned from the
     rows where `held_out` is not true, and score all rows, whole texts. A null text counts as empty: its one token is
-    the end. Repeated rows are learned and scored as often as they occur.
+    the end. Repeated rows are learned and scored as often as they occur. All n-grams seen in training count, whatever
+    how often. An empty table gives no rows.
 
-    The model never stands in one place: documents are dealt in blocks of up to `block` rows; each block asks, for its
-    own distinct tokens and then bigrams, the shards that the hashes belong to for their counts in all blocks, and
-    walks the automaton with what comes back. Rows are dealt by number, so no text or word makes a block or shard
-    larger; within a block a word counts once. The order of rows in `docs` must be the same each time it is read."""
+    The model never stands in one place. Each task reads its texts in blocks of BLOCK bytes; a block asks, for its own
+    distinct n-grams, the shards that the hashes belong to for their counts in all blocks, and walks the automaton with
+    what comes back; its tokens travel along. A block is one row, and a word counts once in it, so that neither a long
+    text nor a frequent word makes a group large. Shards and tasks are as many as the tokens call for, at every size."""
     spark = docs.sparkSession
-    row = F.monotonically_increasing_id()
-    own = docs.select(F.shiftright(row, int(np.log2(block))).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8) * 2
-    text = own.groupBy("block")
-    one = stored(text.applyInArrow(_first(shards), PARTS).groupBy("shard").applyInArrow(_summed(shards), PARTS))
-    sums = one.groupBy("shard").agg(F.first("totals").alias("t")).agg(*[F.sum(F.get("t", F.lit(k))) for k in range(3)]).first()
-    totals = [float(x or 0) for x in sums]
-    two = text.cogroup(one.groupBy("block")).applyInArrow(_second(shards), PARTS).groupBy("shard").applyInArrow(_summed(shards), PARTS)
-    return text.cogroup(one.unionByName(two).groupBy("block")).applyInArrow(_third(shards, totals), RESULT)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    figures = totals(own, max(8, own._jdf.rdd().getNumPartitions()))
+    shards = {k: max(8, int(np.ceil(figures[3] * x * 8 / SHARD))) for k, x in SHARE.items()}
+    tasks = max(min(least, 64), int(np.ceil(figures[3] * 9 / TASK)))
 
+    def ask(batches):
+        for number, block, ids in _blocks(batches):
+            yield _table([_texts(number, block, ids)])
+            for kind in range(1, ORDER + 1):
+                yield _table(_asked(number, block, kind, shards[kind]))
 
-def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 1)
+    parts = in_arrow(own, ask, PARTS).repartition(tasks, "key").groupBy("key").applyInArrow(_added, PARTS)
+    return parts.repartition(tasks, "block").groupBy("block").applyInArrow(_scores(figures), RESULT)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(read(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 1)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,43 +173,47 @@ def test_components(spark):
 # Language model.
 
 
-def brute_scores(rows, held):
+def brute_scores(rows, held, mu=lm_scoring.MU):
     tokens = [[*(t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split(), "<end>"] for _, t in rows]
     train = [t for t, h in zip(tokens, held, strict=True) if not h]
-    c = Counter(w for t in train for w in t)
-    n, v = sum(c.values()), len(c)
-    rare = lambda w: w != "<end>" and c[w] < lm_scoring.LEAST
-    cls = lambda w: "<rare>" if rare(w) else w
-    pairs, states = Counter(), Counter()
+    c = Counter()
     for t in train:
-        for a, b in zip(["<end>", *t[:-1]], t, strict=True):
-            pairs[cls(a), cls(b)] += 1
-    for w, k in c.items():
-        states[cls(w)] += k
-    once = sum(1 for w, k in c.items() if k == 1 and w != "<end>")
+        line = ["<end>", *t]
+        for k in range(1, len(line)):
+            for n in (1, 2, 3):
+                if k - n + 1 >= 0:
+                    c[tuple(line[k - n + 1 : k + 1])] += 1
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
+    once = sum(1 for g, k in c.items() if len(g) == 1 and k == 1 and g != ("<end>",))
     unseen = (once + 0.5) / (n + 1)
-    p = lambda w: (1 - unseen) * c[w] / n if c[w] else unseen
-    p_rare = (1 - unseen) * states["<rare>"] / n + unseen
     out = []
     for t in tokens:
-        score = 0.0
-        for a, b in zip(["<end>", *t[:-1]], t, strict=True):
-            lower, share = (p_rare, p(b) / p_rare) if rare(b) else (p(b), 1.0)
-            score += math.log10((pairs[cls(a), cls(b)] + lm_scoring.MU * lower) / (states[cls(a)] + lm_scoring.MU) * share)
-        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        out.append((len(t), sum(c[w] > 0 for w in t), n, base, score))
+        score, line = 0.0, ["<end>", *t]
+        for k in range(1, len(line)):
+            w, state = line[k], tuple(line[max(0, k - 2) : k])
+            while state and not c[*state, w]:
+                score += math.log10(mu[len(state) + 1] / (c[state] + mu[len(state) + 1]))
+                state = state[1:]
+            p = (1 - unseen) * c[w,] / n if c[w,] else unseen
+            for h in (state[1:], state) if len(state) == 2 else (state,) if state else ():
+                p = (c[*h, w] + mu[len(h) + 1] * p) / (c[h] + mu[len(h) + 1])
+            score += math.log10(p)
+        base = sum(math.log10((c[w,] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        out.append((len(t), sum(c[w,] > 0 for w in t), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("block", [4, 4096])
-def test_lm(spark, block):
+@pytest.mark.parametrize("block", [200, 4 << 20])
+def test_lm(spark, block, monkeypatch):
+    for name, value in (("BLOCK", block), ("SHARD", block), ("TASK", 16 * block)):
+        monkeypatch.setattr(lm_scoring, name, value)
     rng = random.Random(2)
     vocabulary = [f"W{k}" for k in range(12)] + [f"r{k}" for k in range(60)]
-    rows = [(i, " ".join(rng.choices(vocabulary, weights=[20] * 12 + [1] * 60, k=rng.choice([0, 1, 20, 200])))) for i in range(60)] + [(None, None), (60, None), (61, ""), (5, "W1 W2"), (5, "W1 W2"), (62, "never\x0bseen \u00c4")]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights=[20] * 12 + [1] * 60, k=rng.choice([0, 1, 20, 200])))) for i in range(60)] + [(None, None), (60, None), (61, ""), (5, "W1 W2"), (5, "W1 W2"), (62, "never\x0bseen \u00c4"), (63, "W1 " * 20000), (64, "x" * 50000)]
     docs = frame(spark, rows).coalesce(2).withColumn("block", F.lit("clash"))
     order = [(r.doc_id, r.text) for r in docs.collect()]
     held = [zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False for d, _ in order]
-    got = sorted(map(tuple, lm_scoring.scored(docs, remainder(F.col("doc_id"), 5) == 1, block).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
+    got = sorted(map(tuple, lm_scoring.scored(docs, remainder(F.col("doc_id"), 5) == 1).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
     want = sorted(((d, h, *s) for (d, _), h, s in zip(order, held, brute_scores(order, held), strict=True)), key=lambda r: (str(r[0]), r[2], r[5]))
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
@@ -232,12 +237,25 @@ def test_lm_edges(spark):
 
 
 def test_lm_probabilities_sum_to_one():
-    hashes = np.sort(np.array([3, 5, 9, 11, int(lm_scoring.END)], np.uint64))
-    counts = np.array([20, 10, 3, 1, 6])
-    counts[np.searchsorted(hashes, lm_scoring.END)], rest = 6, [20, 10, 3, 1]
-    counts[[i for i, h in enumerate(hashes) if h != lm_scoring.END]] = rest
-    a = lm_scoring.Automaton(counts, [40.0, 5.0, 4.0, 1.0], hashes)
-    assert a.unigram.sum() + a.unseen == pytest.approx(1) and a.share[a.is_rare].sum() + a.unseen / a.rare == pytest.approx(1)
+    """From every state: over all words, END, and words not seen as one."""
+    texts = ["a b a c", "b", "a b a b d", "", "c c"]
+    train = lm_scoring.Block.of(pa.array(texts), np.zeros(len(texts), bool))
+    figures = [float(len(train.codes)), float(len(train.hashes)), 1.0, float(len(train.codes))]
+    words = ["a", "b", "c", "d", "unseen"]
+    for history in ("", "a", "b", "d", "a b", "b a", "c c", "unseen", "unseen a", "b unseen"):
+        probes = [f"{history} {w}" for w in words] + [history]
+        block = lm_scoring.Block.of(pa.array(texts + probes), np.array([False] * len(texts) + [True] * len(probes)))
+        counts = {}
+        for order in (1, 2, 3):
+            hashes, place = block.grams(order)
+            each = np.bincount(place[block.training], minlength=len(hashes) + 1)
+            each[-1] = 0
+            counts[order] = each[place]
+        automaton = lm_scoring.Automaton(figures)
+        automaton.ends = float(len(texts))
+        score, n = automaton.traverse(block, counts), len(history.split())
+        total = sum(10 ** score[block.starts[len(texts) + k] + n] for k in range(len(probes)))
+        assert total == pytest.approx(1)
 
 
 # Nearest neighbours.
