@@ -270,25 +270,65 @@ def brute_nearest(vectors, k=20):
     return out
 
 
-def test_ann_recall(spark):
+def recall(got, ids, v, k=20):
+    """Mean and least share of the true nearest that each query found, by scores: ties count as found."""
+    found = {}
+    for r in got:
+        found.setdefault(r.query_id, []).append(r.score)
+    place = {int(i): n for n, i in enumerate(ids)}
+    out = []
+    for q, scores in found.items():
+        p = v @ v[place[q]]
+        p[place[q]] = -np.inf
+        out.append(sum(s >= np.sort(p)[-k] - 1e-9 for s in scores) / k)
+    return np.mean(out), min(out)
+
+
+@pytest.mark.parametrize("norms", ["unit", "uneven"])
+def test_ann_recall(spark, norms):
+    """50,000 rows in clusters, with more leaves than are visited at first; queries are held out of nothing."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 24))
+    v = centres[rng.integers(0, 300, 50_000)] + 0.6 * rng.normal(size=(50_000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if norms == "uneven":
+        v *= rng.lognormal(0, 0.5, (50_000, 1))
+    v = v.astype(np.float32).astype(np.float64)
+    table = pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 24).cast(pa.list_(pa.float64()))})
+    got = ann.nearest(spark.createDataFrame(table), F.col("vec_id") % 100 == 0).collect()
+    mean, least = recall(got, np.arange(50_000), v)
+    print(f"recall of {norms} vectors: {mean:.4f}, at least {least:.2f} for each query")
+    assert len(got) == 500 * 20 and mean >= 0.93 and least > 0.3
+
+
+def test_ann_table(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = ann.nearest(vectors, F.col("vec_id") % 20 == 0, sample=1000).collect()
+    got = ann.nearest(vectors, F.col("vec_id") % 20 == 0, least=1000).collect()
     want = brute_nearest({r.vec_id: r.embedding for r in vectors.collect()})
     hits = sum(any(i == r.vec_id for i, _ in want[r.query_id]) for r in got)
     assert hits / sum(map(len, want.values())) >= 0.95
     assert Counter(r.query_id for r in got) == {q: 20 for q in want}
 
 
+def test_ann_every_row_takes_part(spark):
+    """Rows of other lengths and with a repeated vec_id are candidates; exact repetitions count once."""
+    rows = [(20, [1.0, 0.0]), (1, [5.0]), (2, [4.0, 9.0, 9.0]), (3, [3.0, 1.0]), (3, [2.0, 1.0]), (3, [3.0, 1.0]), (20, [0.5, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    by = Counter((r.query_id, r.vec_id, r.score) for r in got)
+    assert by == Counter({(20, 1, 5.0): 1, (20, 2, 4.0): 1, (20, 3, 3.0): 1, (20, 3, 2.0): 1, (20, 1, 2.5): 1, (20, 2, 2.0): 1, (20, 3, 1.5): 1, (20, 3, 1.0): 1})
+
+
 def test_ann_exact_and_odd(spark):
     """Few vectors: all leaves are visited. Unusable ones and ties."""
     rng = np.random.default_rng(1)
     good = {i: rng.normal(size=4).astype(np.float32).tolist() for i in range(50)} | {i: [1.0, 2.0, 0.0, -1.0] for i in range(100, 140)}
-    bad = [(200, None), (220, []), (240, [0.0] * 4), (260, [1.0, None, 1.0, 1.0]), (280, [float("nan")] * 4), (300, [float("inf"), 0.0, 0.0, 0.0]), (320, [1.0] * 3), (None, [1.0] * 4)]
+    good |= {320: [1.0] * 3}
+    bad = [(200, None), (220, []), (240, [0.0] * 4), (260, [1.0, None, 1.0, 1.0]), (280, [float("nan")] * 4), (300, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
     rows = spark.createDataFrame([(i, v, "x") for i, v in [*good.items(), *bad, (100, [1.0, 2.0, 0.0, -1.0])]], "vec_id long, embedding array<float>, score string")
     got = {}
     for r in ann.nearest(rows, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    want = brute_nearest(good)
+    want = brute_nearest(good | {320: [1.0, 1.0, 1.0, 0.0]})
     assert got.keys() == want.keys()
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
