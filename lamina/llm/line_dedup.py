@@ -70,7 +70,7 @@ def repeated_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
       matches chain to both of its ends, whichever earlier documents it is repeated from. Each is compared to the first
       position with the same lines, never to each other one: a line repeated a million times takes a million
       comparisons, not their square."""
-    marks = fingerprints(docs, words)
+    marks = stored(fingerprints(docs, words))
     common = marks.groupBy("_mark").agg(F.count("*").alias("_times")).where("_times > 1").select(apart(F.col("_mark")).alias("_key"), F.col("_mark").alias("_m"))
     joined = marks.withColumn("_own", apart(F.col("_mark"))).join(common.hint("merge"), (F.col("_own") == F.col("_key")) & (F.col("_mark") == F.col("_m")))
     order = F.struct(F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("d"), F.col("_row").alias("r"), F.col("_w.a").alias("a"))
