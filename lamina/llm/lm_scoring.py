@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,30 +18,39 @@ ORDER = 3
 #: probability of texts held out.
 MU = {2: 320.0, 3: 5.0}
 #: Bytes of text in a block, about; bytes of hashes in a shard, about; bytes that a task reads, about.
-BLOCK, SHARD, TASK = 4 << 20, 8 << 20, 32 << 20
+BLOCK, SHARD, TASK = 8 << 20, 8 << 20, 32 << 20
 #: Distinct n-grams of a block for each token in it, by their order, about.
-SHARE = {1: 0.1, 2: 0.5, 3: 1.0}
+SHARE = {1: 0.2, 2: 0.7, 3: 1.0}
+
+
+def bits(tokens: float) -> int:
+    """Bits of a hash, for so many tokens: the counts of one n-gram in 60,000, at most, are mixed with another's."""
+    return min(64, max(40, int(np.ceil(np.log2(max(tokens, 1.0)))) + 16))
 
 
 class Block:
-    """The tokens of one block's texts: `codes` into `hashes` (sorted, END among them), text after text, an end after
-    each; `starts`; `training`, whether each token is of a training text."""
+    """The tokens of one block's texts: `codes` into `hashes` (sorted, of the given width; END, at `end`, among them),
+    text after text, an end after each; `starts`; `training`, whether each token is of a training text."""
 
-    def __init__(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, held: np.ndarray):
-        self.hashes, self.codes, self.starts, self.held = hashes, codes, starts, held
-        self.training = np.repeat(~held, np.diff(starts))
+    def __init__(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray | None, held: np.ndarray, width: int = 64):
+        self.hashes, self.codes, self.held, self.width = hashes, codes, held, np.uint64(64 - width)
+        self.end = int(np.searchsorted(hashes, END >> self.width))
+        self.starts = np.concatenate(([0], np.flatnonzero(codes == self.end) + 1)) if starts is None else starts
+        self.training = np.repeat(~held, np.diff(self.starts))
 
     @classmethod
-    def of(cls, texts: pa.Array, held: np.ndarray) -> Block:
+    def of(cls, texts: pa.Array, held: np.ndarray, width: int = 64) -> Block:
         words = Words(texts, lower=True)
-        raw = words.hashes()
-        hashes = np.unique(np.append(raw, END))
+        last = END >> np.uint64(64 - width)
+        raw = words.hashes() >> np.uint64(64 - width)
+        raw[raw == last] ^= np.uint64(1)
+        hashes = np.unique(np.append(raw, last))
         starts = words.starts + np.arange(len(words.starts))
-        codes = np.full(int(starts[-1]), np.searchsorted(hashes, END), np.int64)
+        codes = np.full(int(starts[-1]), np.searchsorted(hashes, last), np.int64)
         inner = np.ones(len(codes), bool)
         inner[starts[1:] - 1] = False
         codes[inner] = np.searchsorted(hashes, raw)[words.codes]
-        return cls(hashes, codes, starts, held)
+        return cls(hashes, codes, starts, held, width)
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted hashes of the n-grams of an order, and each token's place among them: of the n-gram that ends with
@@ -53,9 +63,9 @@ class Block:
             before = np.empty_like(h)
             before[back:] = h[:-back] if back < len(h) else h[:0]
             at = self.starts[:-1] + back - 1
-            before[at[at < np.append(self.starts[1:], 0)[: len(at)]]] = mix(np.array([END]))[0]
+            before[at[at < self.starts[1:]]] = mix(self.hashes[[self.end]])[0]
             key = mix(key * np.uint64(3) ^ before)
-        both, found = np.unique(key[has], return_inverse=True)
+        both, found = np.unique(key[has] >> self.width, return_inverse=True)
         place = np.full(len(self.codes), len(both), np.int64)
         place[has] = found
         return both, place
@@ -81,9 +91,10 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_numbers(data, "<u8"), dtype=np.uint64)
 
 
-def _split(hashes: np.ndarray, shards: int) -> list[tuple[int, slice]]:
-    """The shards that have any of the sorted `hashes`, in order, and where theirs are: a shard is a range of hashes."""
-    shard = ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def _split(hashes: np.ndarray, shards: int, drop: np.uint64) -> list[tuple[int, slice]]:
+    """The shards that have any of the sorted `hashes`, in order, and where theirs are: a shard is a range of hashes.
+    drop: how many of 64 bits the hashes don't have."""
+    shard = ((hashes >> (np.uint64(32) - drop)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
     return [(int(shard[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
@@ -104,7 +115,7 @@ def _asked(number: int, block: Block, kind: int, shards: int) -> list[tuple]:
     """A row for each shard that the block's n-grams of an order belong to: their hashes, and their training counts."""
     hashes, place = block.grams(kind)
     counts = np.bincount(place[block.training], minlength=len(hashes) + 1)
-    return [((kind << 40) + s, number, kind, s, _packed(hashes[x]), _bytes(counts[:-1][x], "<u4"), None, None) for s, x in _split(hashes, shards)]
+    return [((kind << 40) + s, number, kind, s, _packed(hashes[x]), _bytes(counts[:-1][x], "<u4"), None, None) for s, x in _split(hashes, shards, block.width)]
 
 
 def _texts(number: int, block: Block, ids: pa.Array) -> tuple:
@@ -114,32 +125,40 @@ def _texts(number: int, block: Block, ids: pa.Array) -> tuple:
     rank[order] = np.arange(len(order))
     known = np.asarray(ids.is_valid())
     flags = block.held.astype("u1") | (~known).astype("u1") << 1
-    return (-1 - number, number, 0, 0, block.hashes[order].tobytes(), _bytes(rank[block.codes], "<u4"), _bytes(ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8"), flags.tobytes())
+    return (-1 - number, number, 0, 0, _bytes(block.hashes[order], "<u8"), _bytes(rank[block.codes], "<u4"), _bytes(ids.fill_null(0).to_numpy(zero_copy_only=False), "<i8"), flags.tobytes())
 
 
-def _block(row: dict) -> tuple[Block, pa.Array]:
+def _block(row: dict, width: int) -> tuple[Block, pa.Array]:
     """What _texts() has put away."""
-    flags, hashes = np.frombuffer(row["d"], "u1"), np.frombuffer(row["a"], np.uint64)
+    flags, hashes = np.frombuffer(row["d"], "u1"), _numbers(row["a"], "<u8")
     order = np.argsort(hashes)
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     codes = place[_numbers(row["b"], "<u4")]
-    hashes = hashes[order]
-    starts = np.concatenate(([0], np.flatnonzero(codes == np.searchsorted(hashes, END)) + 1))
-    return Block(hashes, codes, starts, (flags & 1).astype(bool)), pa.array(_numbers(row["c"], "<i8"), mask=(flags & 2).astype(bool))
+    return Block(hashes[order], codes, None, (flags & 1).astype(bool), width), pa.array(_numbers(row["c"], "<i8"), mask=(flags & 2).astype(bool))
 
 
-def _blocks(batches):
-    """Number, tokens and ids of the blocks of a partition: as many texts in a row as have BLOCK bytes."""
+def _blocks(batches, width: int, block_size: int):
+    """Number, tokens and ids of the blocks of a partition: as many texts in a row as have `block_size` bytes."""
     from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
+    number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def block():
+        own = pa.Table.from_batches(parts).combine_chunks()
+        return number, Block.of(own.column("text"), own.column("held").to_numpy().astype(bool), width), own.column("doc_id").combine_chunks()
+
     for b in batches:
-        for stretch in slices(b.column(2), BLOCK):
-            part = b.slice(*stretch)
-            yield number, Block.of(part.column(2), part.column(1).to_numpy(zero_copy_only=False).astype(bool)), part.column(0)
-            number += 1
-        tidy()
+        for stretch in slices(b.column(2), max(1, block_size // 4)):
+            parts.append(b.slice(*stretch))
+            size += int(pc.sum(pc.binary_length(parts[-1].column(2))).as_py() or 0)
+            if size >= block_size:
+                yield block()
+                number, parts, size = number + 1, [], 0
+                tidy()
+    if parts:
+        yield block()
+    tidy()
 
 
 def _sum(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,18 +172,18 @@ def _sum(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 TOTALS = "tokens double, types double, once double, n_all double"
 
 
-def totals(own: DataFrame, shards: int) -> list[float]:
+def totals(own: DataFrame, shards: int, width: int, block_size: int) -> list[float]:
     """Of the training texts: tokens, types, types seen once (END aside); of all texts: tokens."""
 
     def ask(batches):
-        for number, block, _ in _blocks(batches):
+        for number, block, _ in _blocks(batches, width, block_size):
             rows = _asked(number, block, 1, shards)
             yield _table([(*r[:6], np.int64(len(block.codes) if not k else 0).tobytes(), None) for k, r in enumerate(rows)])
 
     def add(key, rows):
         rows = rows.to_pylist()
         hashes, total, _ = _sum(rows)
-        found = [total.sum(), (total > 0).sum(), (total[hashes != END] == 1).sum(), sum(int(np.frombuffer(r["c"], np.int64)[0]) for r in rows)]
+        found = [total.sum(), (total > 0).sum(), (total[hashes != END >> np.uint64(64 - width)] == 1).sum(), sum(int(np.frombuffer(r["c"], np.int64)[0]) for r in rows)]
         return pa.table([pa.array([float(x)]) for x in found], names=[x.split()[0] for x in TOTALS.split(", ")])
 
     sums = in_arrow(own, ask, PARTS).groupBy("key").applyInArrow(add, TOTALS).groupBy().sum().first()
@@ -215,11 +234,11 @@ class Automaton:
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(figures: list[float]):
+def _scores(figures: list[float], width: int):
     def run(key, rows):
         rows = rows.to_pylist()
-        block, ids = _block(next(r for r in rows if r["kind"] == 0))
-        counts, end = {}, int(np.searchsorted(block.hashes, END))
+        block, ids = _block(next(r for r in rows if r["kind"] == 0), width)
+        counts = {}
         automaton = Automaton(figures)
         for order in range(1, ORDER + 1):
             found = [_numbers(r["b"], "<u4") for r in sorted((r for r in rows if r["kind"] == order), key=lambda r: r["shard"])]
@@ -229,7 +248,7 @@ def _scores(figures: list[float]):
                 raise RuntimeError("counts are missing")
             counts[order] = each[place]
             if order == 1:
-                automaton.ends = float(each[end])
+                automaton.ends = float(each[block.end])
         n, types, *_ = figures
         base = np.log10((counts[1] + 0.5) / (n + 0.5 * (types + 1)))
         score = automaton.traverse(block, counts)
@@ -253,31 +272,34 @@ def _added(key, rows):
     return pa.Table.from_batches([_table(out)])
 
 
-def scored(docs: DataFrame, held_out: Column) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, block_size: int = BLOCK) -> DataFrame:
     """RESULT for every row of `docs` (doc_id, text): a trigram model and an add-half unigram base are learned from the
     rows where `held_out` is not true, and score all rows, whole texts. A null text counts as empty: its one token is
     the end. Repeated rows are learned and scored as often as they occur. All n-grams seen in training count, whatever
     how often. An empty table gives no rows.
 
-    The model never stands in one place. Each task reads its texts in blocks of BLOCK bytes; a block asks, for its own
+    The model never stands in one place. Each task reads its texts in blocks of `block_size` bytes; a block asks, for its own
     distinct n-grams, the shards that the hashes belong to for their counts in all blocks, and walks the automaton with
     what comes back; its tokens travel along. A block is one row, and a word counts once in it, so that neither a long
-    text nor a frequent word makes a group large. Shards and tasks are as many as the tokens call for, at every size."""
+    text nor a frequent word makes a group large. Shards and tasks are as many as the tokens call for, at every size; so
+    are the bits of a hash (see bits)."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    figures = totals(own, max(8, own._jdf.rdd().getNumPartitions()))
+    size, n = own.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    guess = (size or 0) / 4 + n
+    width = bits(guess)
+    figures = totals(own, max(8, int(np.ceil(guess * SHARE[1] * 8 / SHARD))), width, block_size)
     shards = {k: max(8, int(np.ceil(figures[3] * x * 8 / SHARD))) for k, x in SHARE.items()}
-    tasks = max(min(least, 64), int(np.ceil(figures[3] * 9 / TASK)))
+    tasks = max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 64), int(np.ceil(figures[3] * 9 / TASK)))
 
     def ask(batches):
-        for number, block, ids in _blocks(batches):
+        for number, block, ids in _blocks(batches, width, block_size):
             yield _table([_texts(number, block, ids)])
             for kind in range(1, ORDER + 1):
                 yield _table(_asked(number, block, kind, shards[kind]))
 
     parts = in_arrow(own, ask, PARTS).repartition(tasks, "key").groupBy("key").applyInArrow(_added, PARTS)
-    return parts.repartition(tasks, "block").groupBy("block").applyInArrow(_scores(figures), RESULT)
+    return parts.repartition(tasks, "block").groupBy("block").applyInArrow(_scores(figures, width), RESULT)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

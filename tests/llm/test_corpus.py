@@ -205,7 +205,7 @@ def brute_scores(rows, held, mu=lm_scoring.MU):
 
 @pytest.mark.parametrize("block", [200, 4 << 20])
 def test_lm(spark, block, monkeypatch):
-    for name, value in (("BLOCK", block), ("SHARD", block), ("TASK", 16 * block)):
+    for name, value in (("SHARD", block), ("TASK", 16 * block)):
         monkeypatch.setattr(lm_scoring, name, value)
     rng = random.Random(2)
     vocabulary = [f"W{k}" for k in range(12)] + [f"r{k}" for k in range(60)]
@@ -213,7 +213,7 @@ def test_lm(spark, block, monkeypatch):
     docs = frame(spark, rows).coalesce(2).withColumn("block", F.lit("clash"))
     order = [(r.doc_id, r.text) for r in docs.collect()]
     held = [zlib.crc32(str(d).encode()) % 5 == 1 if d is not None else False for d, _ in order]
-    got = sorted(map(tuple, lm_scoring.scored(docs, remainder(F.col("doc_id"), 5) == 1).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
+    got = sorted(map(tuple, lm_scoring.scored(docs, remainder(F.col("doc_id"), 5) == 1, block).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
     want = sorted(((d, h, *s) for (d, _), h, s in zip(order, held, brute_scores(order, held), strict=True)), key=lambda r: (str(r[0]), r[2], r[5]))
     for a, b in zip(got, want, strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9)
