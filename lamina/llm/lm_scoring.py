@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +19,14 @@ ORDER = 3
 #: probability of texts held out.
 MU = {2: 320.0, 3: 5.0}
 #: Bytes of text in a block, about; bytes of hashes in a shard, about; bytes that a task reads, about.
-BLOCK, SHARD, TASK = 8 << 20, 8 << 20, 32 << 20
+BLOCK, SHARD, TASK = 8 << 20, 2 << 20, 32 << 20
 #: Distinct n-grams of a block for each token in it, by their order, about.
 SHARE = {1: 0.2, 2: 0.7, 3: 1.0}
 
 
 def bits(tokens: float) -> int:
-    """Bits of a hash, for so many tokens: the counts of one n-gram in 60,000, at most, are mixed with another's."""
-    return min(64, max(40, int(np.ceil(np.log2(max(tokens, 1.0)))) + 16))
+    """Bits of a hash, for so many tokens: the counts of one n-gram in 16,000, at most, are mixed with another's."""
+    return min(64, max(40, int(np.ceil(np.log2(max(tokens, 1.0)))) + 14))
 
 
 class Block:
@@ -72,14 +73,14 @@ class Block:
 
 
 def _bytes(values: np.ndarray, kind: str) -> bytes:
-    """The numbers' first bytes, then their second ones and so on: high bytes are mostly 0 and take no space when
-    compressed."""
-    return values.astype(kind).view("u1").reshape(len(values), -1 if len(values) else 1).T.tobytes()
+    """The numbers' first bytes, then their second ones and so on, compressed: high bytes are mostly 0 and take next to
+    no space."""
+    return zstandard.compress(values.astype(kind).view("u1").reshape(len(values), -1 if len(values) else 1).T.tobytes(), 1)
 
 
 def _numbers(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(size, len(data) // size).T).view(kind).ravel()
+    plain, size = zstandard.decompress(data), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(plain, "u1").reshape(size, len(plain) // size).T).view(kind).ravel()
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -161,12 +162,13 @@ def _blocks(batches, width: int, block_size: int):
     tidy()
 
 
-def _sum(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of one shard: the distinct hashes, their total counts, and the place of each row's hashes among them."""
+def _sum(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of rows of one shard: the distinct hashes, their total counts, the place of each row's hashes among them, and how
+    many each row has."""
     asked = [_unpacked(r["a"]) for r in rows]
     everything, place = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate([_numbers(r["b"], "<u4") for r in rows]), minlength=len(everything)).astype(np.int64)
-    return everything, total, place
+    return everything, total, place, [len(x) for x in asked]
 
 
 TOTALS = "tokens double, types double, once double, n_all double"
@@ -182,7 +184,7 @@ def totals(own: DataFrame, shards: int, width: int, block_size: int) -> list[flo
 
     def add(key, rows):
         rows = rows.to_pylist()
-        hashes, total, _ = _sum(rows)
+        hashes, total, *_ = _sum(rows)
         found = [total.sum(), (total > 0).sum(), (total[hashes != END >> np.uint64(64 - width)] == 1).sum(), sum(int(np.frombuffer(r["c"], np.int64)[0]) for r in rows)]
         return pa.table([pa.array([float(x)]) for x in found], names=[x.split()[0] for x in TOTALS.split(", ")])
 
@@ -264,9 +266,8 @@ def _added(key, rows):
     if key[0].as_py() < 0:
         return rows.select(_NAMES)
     rows, out, at = rows.to_pylist(), [], 0
-    _, total, place = _sum(rows)
-    for r in rows:
-        n = len(r["b"]) // 4
+    _, total, place, sizes = _sum(rows)
+    for r, n in zip(rows, sizes, strict=True):
         out.append((r["key"], r["block"], r["kind"], r["shard"], None, _bytes(total[place[at : at + n]], "<u4"), None, None))
         at += n
     return pa.Table.from_batches([_table(out)])
