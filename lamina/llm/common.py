@@ -165,9 +165,9 @@ def label_share(labels: DataFrame, label: str, eligible: Column | None = None) -
     return 0.5 if share is None else float(share)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, eligible: Column | None = None) -> list[tuple[str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, eligible: Column | None = None, longest: int = 30_000) -> list[tuple[str, int]]:
     """Whole texts of at most `most` labelled documents of each class, (text, 0 or 1), the same ones each time: those
-    whose ids hash lowest. Conflicting labels of one id are left out, as are texts of over 30,000 characters, so that
+    whose ids hash lowest. Conflicting labels of one id are left out, as are texts of over `longest` characters, so that
     what reaches the driver is bounded.
     eligible: a condition on `doc_id`. The ids picked are at most 2 * most, so that they may be broadcast."""
     own = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("_y")).where("doc_id is not null and _y in (0, 1)")
@@ -179,6 +179,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, eligible
     if not picked:
         return []
     ids = docs.sparkSession.createDataFrame(picked, "doc_id long, _y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.length("text") <= 30_000)
-    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).collect()
-    return [(r["text"], r["_y"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where(F.length("text") <= longest)
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    return list(zip(rows.column("text").to_pylist(), rows.column("_y").to_pylist(), strict=True))

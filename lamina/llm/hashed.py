@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .common import Words, mix, segment_sums
+from .common import Words, mix, segment_sums, slices, tidy
 
 BITS = 16
 SIZE = 1 << BITS
@@ -56,6 +56,31 @@ class Features:
         return out
 
 
+class Pooled:
+    """The features of many texts, a slice of them at a time, as sparse rows: for each group, which text has which bucket,
+    and with what share of the group's features."""
+
+    def __init__(self, texts: list[str]):
+        self.n, own, found = len(texts), pa.array(texts, pa.string()), ([], [], [])
+        for begin, n in slices(own, 1 << 20):
+            for group, (b, starts) in zip(found, Features(own.slice(begin, n)).groups, strict=True):
+                sizes = np.diff(starts)
+                key, times = np.unique(np.repeat(np.arange(n) << BITS, sizes) + b, return_counts=True)
+                doc = key >> BITS
+                group.append(((doc + begin).astype(np.int32), (key & (SIZE - 1)).astype(np.int32), times / sizes[doc]))
+        self.groups = [[np.concatenate(x) for x in zip(*group, strict=True)] if group else [np.empty(0, np.int32)] * 2 + [np.empty(0)] for group in found]
+
+    def logits(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        out = np.full(self.n, float(bias))
+        for w, (doc, bucket, share) in zip(weights, self.groups, strict=True):
+            out += np.bincount(doc, weights=w[bucket] * share, minlength=self.n)
+        return out
+
+    def gradient(self, group: int, d: np.ndarray) -> np.ndarray:
+        doc, bucket, share = self.groups[group]
+        return np.bincount(bucket, weights=d[doc] * share, minlength=SIZE)
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float = 1.0, shift: float = 0.0):
         self.weights, self.bias, self.slope, self.shift = weights.astype(np.float32), bias, slope, shift
@@ -106,21 +131,20 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None, epochs: int = 8
     held = np.arange(len(y)) % 5 == 4
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = False
-    train = Features(pa.array([r[0] for r, h in zip(rows, held, strict=True) if not h], pa.string()))
+    train = Pooled([r[0] for r, h in zip(rows, held, strict=True) if not h])
     t = y[~held]
     balance = np.where(t == 1, 0.5 / t.sum(), 0.5 / (1 - t).sum())
     weights, bias, seen = np.zeros((3, SIZE)), 0.0, np.full((3, SIZE), 1e-8)
-    scale = [np.repeat(1 / np.maximum(1, np.diff(s)), np.diff(s)) for _, s in train.groups]
-    docs = [np.repeat(np.arange(len(t)), np.diff(s)) for _, s in train.groups]
     for _ in range(epochs):
         d = (sigmoid(train.logits(weights, bias)) - t) * balance
         bias -= rate * float(d.sum())
-        for k, (b, _) in enumerate(train.groups):
-            g = np.bincount(b, weights=d[docs[k]] * scale[k], minlength=SIZE) + 1e-7 * weights[k]
+        for k in range(len(weights)):
+            g = train.gradient(k, d) + 1e-7 * weights[k]
             seen[k] += g * g
             weights[k] -= rate * g / np.sqrt(seen[k])
     rest = [r for r, h in zip(rows, held, strict=True) if h] or rows
-    x, t = Features(pa.array([r[0] for r in rest], pa.string())).logits(weights.astype(np.float32), bias), np.array([r[1] for r in rest], np.float64)
+    x, t = Pooled([r[0] for r in rest]).logits(weights.astype(np.float32), bias), np.array([r[1] for r in rest], np.float64)
     share = prior if prior is not None else y.mean()
     w = np.where(t == 1, share / max(1, t.sum()), (1 - share) / max(1, (1 - t).sum())) * len(t)
+    tidy()
     return Model(weights, bias, *platt(x, t, w))

@@ -194,6 +194,7 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None, drift: float =
     share = min(max(y.mean() if prior is None else prior, 1e-3), 1 - 1e-3)
     model.slope, model.shift = platt(x, t, np.where(t == 1, share / max(1, t.sum()), (1 - share) / max(1, (1 - t).sum())) * len(t))
     model.weights, model.known = log_odds(rows), {}
+    tidy()
     return model
 
 
