@@ -288,7 +288,7 @@ def rest_api(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{x} string" for x in columns))
 
 
-@query("record_reader")
+@query("record_reader", "SELECT batch, CAST(count(*) AS INTEGER) AS rows FROM (SELECT CAST((row_number() OVER (ORDER BY n_nationkey) - 1) // 10 AS INTEGER) AS batch FROM nation) AS t GROUP BY batch")
 def record_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows pulled in batches of at most 10."""
     from ..sources.reader import batches

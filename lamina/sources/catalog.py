@@ -127,7 +127,7 @@ class Manifest:
         finally:
             stream.close()
 
-    def _commit(self, change: Callable[[dict[str, str]], dict[str, str]]) -> int:
+    def commit(self, change: Callable[[dict[str, str]], dict[str, str]]) -> int:
         v = self._version()
         files = change(self.files(v))
         draft = self._path(f"{self.root}/_versions/.{uuid.uuid4().hex}")
@@ -143,7 +143,7 @@ class Manifest:
         """Registers files that are there, such as imported ones."""
         if kind not in FILE_KINDS:
             raise ValueError(f"no such kind of file: {kind}")
-        return self._commit(lambda old: old | dict.fromkeys(paths, kind))
+        return self.commit(lambda old: old | dict.fromkeys(paths, kind))
 
     def swap(self, old: list[str], new: list[str]) -> int:
         """At once, the new files take the place of the old ones, which are retired."""
@@ -153,7 +153,7 @@ class Manifest:
                 raise ValueError(f"no files of the table: {lacking}")
             return files | dict.fromkeys(old, "RETIRED") | dict.fromkeys(new, "REGULAR")
 
-        return self._commit(change)
+        return self.commit(change)
 
     def read(self, version: int | None = None) -> DataFrame:
         paths = sorted(p for p, kind in self.files(version).items() if kind == "REGULAR")
@@ -172,10 +172,13 @@ class Manifest:
             self._fs.delete(self._path(path), True)
             raise
 
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
     def clean(self) -> list[str]:
         """Deletes retired files and forgets them."""
         gone = [p for p, kind in self.files().items() if kind == "RETIRED"]
-        self._commit(lambda old: {p: k for p, k in old.items() if p not in gone})
+        self.commit(lambda old: {p: k for p, k in old.items() if p not in gone})
         for p in gone:
             self._fs.delete(self._path(p), True)
         return gone

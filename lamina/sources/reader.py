@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.filters import TableFilter
-from ..streaming.mvcc import snapshot
+from ..streaming.mvcc import HIDDEN, snapshot
 from ..types import COMMIT_TS
 
 
@@ -52,7 +52,7 @@ def over(df: DataFrame, options: Scan) -> DataFrame:
     if options.snapshot_ts is not None:
         df = snapshot(df, options.deletes, options.snapshot_ts, hidden=True)
     df = options.filter.apply(df)
-    names = [(c, c) if isinstance(c, str) else c for c in options.columns] if options.columns is not None else [(c, c) for c in df.columns if not c.startswith("_")]
+    names = [(c, c) if isinstance(c, str) else c for c in options.columns] if options.columns is not None else [(c, c) for c in df.columns if c not in HIDDEN]
     if options.expose_hidden and COMMIT_TS in df.columns:
         names = [*names, (COMMIT_TS, COMMIT_TS)]
     return df.select(*[F.col(f"`{c}`").alias(a) for c, a in names])
@@ -69,16 +69,30 @@ def file_meta(spark: SparkSession, path: str) -> DataFrame:
     return meta.groupBy("file_name", "file_size").agg(F.count("*").alias("row_count"), F.min("at").alias("first_row"), F.max("at").alias("last_row"))
 
 
-def batches(df: DataFrame, size: int):
-    """Pulls the rows to the driver in Arrow batches of at most `size` rows, a partition at a time."""
+def batches(df: DataFrame, size: int, skip: int = 0):
+    """Pulls the rows to the driver in Arrow tables of at most `size` rows, in order, from row `skip` on. Executors make
+    Arrow data of a partition at a time, in slices of `size` rows, so that the driver has one partition's at most."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema, rows = to_arrow_schema(df.schema), []
-    for row in df.toLocalIterator():
-        rows.append(row.asDict())
-        if len(rows) == size:
-            yield pa.Table.from_pylist(rows, schema)
-            rows = []
+
+    schema = df.limit(0).toArrow().schema
+
+    def sliced(parts):
+        for part in parts:
+            for at in range(0, part.num_rows, size):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part.slice(at, size))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    kept, rows = [], 0
+    for row in df.mapInArrow(sliced, "data binary").toLocalIterator():
+        table = pa.ipc.open_stream(pa.py_buffer(bytes(row["data"]))).read_all().cast(schema)
+        lost = min(skip, table.num_rows)
+        skip, table = skip - lost, table.slice(lost)
+        kept, rows = [*kept, table], rows + table.num_rows
+        while rows >= size:
+            whole = pa.concat_tables(kept)
+            yield whole.slice(0, size).combine_chunks()
+            kept, rows = [whole.slice(size)], rows - size
     if rows:
-        yield pa.Table.from_pylist(rows, schema)
+        yield pa.concat_tables(kept).combine_chunks()

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..types import COMMIT_TS
 
 
+#: Columns that a version log has beside the user's own.
+HIDDEN = ("_row_id", COMMIT_TS, "_phase", "_seq", "_end_ts")
+
+
 class SnapshotTooOld(ValueError):
     """Rows that the snapshot would see have been collected; a checkpoint has them."""
 
@@ -23,7 +27,7 @@ def snapshot(rows: DataFrame, deletes: DataFrame | None, ts: int, gc_ts: int = -
     seen = rows.where(F.col(COMMIT_TS) <= ts)
     if deletes is not None:
         seen = seen.join(deletes.where(F.col("_end_ts") <= ts).select("_row_id"), "_row_id", "left_anti")
-    return seen if hidden else seen.select(*[F.col(f"`{c}`") for c in rows.columns if not c.startswith("_")])
+    return seen if hidden else seen.select(*[F.col(f"`{c}`") for c in rows.columns if c not in HIDDEN])
 
 
 def ends(deletes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.streaming import index, mvcc
-from lamina.streaming.cdc import MissingKey, VersionedTable
+from lamina.streaming.cdc import MissingKey, Overtaken, VersionedTable
 from lamina.streaming.txn import LeaseExpired, Transactions
 from lamina.types import schema_of
 
@@ -157,3 +157,76 @@ def test_collection_plan(spark):
     df = spark.createDataFrame(files, "group string, file string, rows long, dead long").withColumn("ratio", F.col("dead") / F.col("rows"))
     got = {(r.group, r.file) for r in mvcc.collection_plan(df, files=2, groups=5).collect()}
     assert got == {("t1", "f9"), ("t1", "f8"), ("t2", "g")}
+
+
+EVENTS = "op string, ts long, seq long, k long, v string, _own string"
+
+
+def versioned(spark, path):
+    return VersionedTable(spark, f"file://{path}", schema_of("k:bigint,v:string,_own:string"), ["k"])
+
+
+def events(spark, *rows):
+    return spark.createDataFrame([(op, ts, i, k, v, "mine") for i, (op, ts, k, v) in enumerate(rows)], EVENTS)
+
+
+def test_gc_is_known_to_whoever_opens(spark, tmp_path):
+    t = versioned(spark, tmp_path / "t")
+    t.apply(events(spark, ("INSERT", 1, 1, "a"), ("INSERT", 1, 2, "b")), 0)
+    t.apply(events(spark, ("DELETE", 2, 1, None)), 1)
+    t.collect_garbage(3, f"file://{tmp_path}/new")
+    again = versioned(spark, tmp_path / "new")
+    with pytest.raises(mvcc.SnapshotTooOld):
+        again.snapshot(1)
+    assert [tuple(r) for r in again.snapshot(3).collect()] == [(2, "b", "mine")]
+
+
+def test_new_source_keeps_old_rows(spark, tmp_path):
+    """Batch 0 of another stream is a batch of its own; the same one again does nothing; own columns with an underscore stay."""
+    t = versioned(spark, tmp_path / "t")
+    assert t.apply(events(spark, ("INSERT", 1, 1, "a"), ("INSERT", 1, 2, "b")), 0, source="one")
+    assert t.apply(events(spark, ("DELETE", 2, 1, None)), 1, source="one")
+    again = versioned(spark, tmp_path / "t")
+    assert again.apply(events(spark, ("INSERT", 3, 3, "c")), 0, source="two")
+    assert not again.apply(events(spark, ("INSERT", 3, 3, "c")), 0, source="two")
+    assert sorted(tuple(r) for r in again.snapshot(3).collect()) == [(2, "b", "mine"), (3, "c", "mine")]
+    assert len(set(r[0] for r in t.rows().select("_row_id").collect())) == 3
+
+
+def test_failed_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    """A writer that dies between its files and the commit, one that was overtaken, and a reader in between."""
+    t = versioned(spark, tmp_path / "t")
+    t.apply(events(spark, ("INSERT", 1, 1, "a")), 0)
+    seen = []
+
+    def die(read, state):
+        seen.append([tuple(r) for r in versioned(spark, tmp_path / "t").snapshot(9).collect()])
+        raise OSError("died")
+
+    with monkeypatch.context() as m:
+        m.setattr(t, "_publish", die)
+        with pytest.raises(OSError):
+            t.apply(events(spark, ("UPDATE", 2, 1, "b")), 1)
+    publish = t._publish
+
+    def late(read, state):
+        versioned(spark, tmp_path / "t").apply(events(spark, ("INSERT", 2, 7, "x")), 5)
+        publish(read, state)
+
+    with monkeypatch.context() as m:
+        m.setattr(t, "_publish", late)
+        with pytest.raises(Overtaken):
+            t.apply(events(spark, ("UPDATE", 2, 1, "b")), 1)
+    assert seen == [[(1, "a", "mine")]]
+    assert t.apply(events(spark, ("UPDATE", 2, 1, "b")), 1)
+    assert sorted(tuple(r) for r in t.snapshot(2).collect()) == [(1, "b", "mine"), (7, "x", "mine")]
+
+
+def test_record_batches(spark):
+    from lamina.sources.reader import batches
+
+    df = spark.range(0, 103, 1, 4).selectExpr("id", "cast(id as string) as s")
+    got = list(batches(df, 10))
+    assert [b.num_rows for b in got] == [10] * 10 + [3] and [x for b in got for x in b.column("id").to_pylist()] == list(range(103))
+    assert [x for b in batches(df, 50, skip=27) for x in b.column("s").to_pylist()] == [str(k) for k in range(27, 103)]
+    assert list(batches(df.limit(0), 5)) == []
