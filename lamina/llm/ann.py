@@ -16,9 +16,10 @@ from .common import in_arrow, prepared, read, stored
 #: Vectors that the tree is fitted on: one in SHARE, at least and at most so many. Every vector is filed and searched.
 SHARE, LEAST, MOST = 10, 20_000, 100_000
 #: Children of a node; vectors of the table in a leaf, about; vectors in a block of a leaf, and queries in a group, about.
-BRANCHES, LEAF, BLOCK, QUERIES = 8, 512, 4096, 1024
-#: Leaves that are searched first; what a query's k best have there bounds what other leaves give.
-FIRST = 6
+BRANCHES, LEAF, BLOCK, QUERIES = 8, 1024, 4096, 1024
+#: Leaves that are searched first, and how many times as many leaves each round of widening goes up to; what a query's
+#: k best have so far bounds what further leaves give, so that a round gives WIDER * k rows for a query, about.
+FIRST, WIDER = 6, 8
 #: Recall that bounds are calibrated to, on PROBES vectors that the tree isn't fitted on.
 RECALL, PROBES = 0.95, 300
 
@@ -200,8 +201,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, least: int = LEAS
     The tree is fitted on the driver, on one vector in SHARE, `least` to `most` of them; a leaf is meant to have LEAF
     rows of the table as long as `most` vectors make so many leaves. Rows are dealt by leaf, and a leaf with many rows,
     such as copies of one vector, in blocks; queries of a leaf in groups. Each block gives each query its k best. The
-    FIRST leaves are searched before the others; then each query widens its visits, until no open node's bound reaches
-    the k-th best it has (see calibrated)."""
+    FIRST leaves are searched before the others; then each query widens its visits in rounds, until no open node's bound
+    reaches the k-th best it has (see calibrated). The number of rounds grows with the logarithm of the leaves'."""
     spark = prepared(vectors.sparkSession)
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v").cast("array<double>")))
     kind = own.schema["v"].dataType.simpleString()
@@ -226,29 +227,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, least: int = LEAS
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.file(_matrix(b.column(1), width["n"])), pa.int32())], ["vec_id", "v", "leaf"])
 
-    def route(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                floors = part.column("floor").to_numpy(zero_copy_only=False)
-                bins = []
-                q = _matrix(part.column("q"), width["n"])
-                for own, bounds, floor in zip(q, tree.bounds(q), floors, strict=True):
-                    first = tree.first(own, bounds)
-                    bins.append(first if np.isnan(floor) else [x for x in tree.visit(bounds, None, floor - 1e-9 * (1 + abs(floor))) if x not in first])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bins, pa.list_(pa.int32()))], [*part.schema.names, "leaves"])
+    def route(before: int, upto: int):
+        """Leaves of a round: the first ones for upto = 0, then those from the before-th to the upto-th by bound."""
+
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, 1024):
+                    part = b.slice(at, 1024)
+                    floors = part.column("floor").to_numpy(zero_copy_only=False)
+                    bins = []
+                    q = _matrix(part.column("q"), width["n"])
+                    for own, bounds, floor in zip(q, tree.bounds(q), floors, strict=True):
+                        first = tree.first(own, bounds)
+                        bins.append([x for x in tree.visit(bounds, upto, floor - 1e-9 * (1 + abs(floor)) if np.isfinite(floor) else floor)[before:] if x not in first] if upto else first)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bins, pa.list_(pa.int32()))], [*part.schema.names, "leaves"])
+
+        return run
 
     filed = stored(in_arrow(own, file, f"vec_id long, v {kind}, leaf int"))
     # As many rows as leaves, which `most` bounds.
     blocks = stored(filed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
 
-    def searched(queries: DataFrame) -> DataFrame:
-        """The k best of each query (query_id, mark, q, floor: no number for the first leaves) in its leaves."""
-        asked = stored(in_arrow(queries, route, f"query_id long, mark long, q {kind}, floor double, leaves array<int>"))
+    def searched(queries: DataFrame, before: int, upto: int) -> DataFrame:
+        """The k best of each query (query_id, mark, q, floor) in each of its leaves of a round."""
+        asked = stored(in_arrow(queries, route(before, upto), f"query_id long, mark long, q {kind}, floor double, leaves array<int>"))
         groups = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
         dealt = stored(blocks.join(groups, "leaf"))
         left = filed.join(F.broadcast(dealt), "leaf").select("leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "vec_id", "v")
-        right = asked.select("query_id", "mark", "q", F.nanvl("floor", F.lit(float("-inf"))).alias("floor"), F.explode("leaves").alias("leaf")).join(F.broadcast(dealt), "leaf")
+        right = asked.select("query_id", "mark", "q", "floor", F.explode("leaves").alias("leaf")).join(F.broadcast(dealt), "leaf")
         right = right.select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id", "mark"), F.col("groups")).cast("int").alias("group"), "query_id", "mark", "q", "floor")
         keys = ["leaf", "block", "group"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_best(k), "query_id long, mark long, vec_id long, score double")
@@ -256,10 +262,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, least: int = LEAS
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     queries = stored(own.where(is_query).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("mark"), F.col("v").alias("q")).distinct())
-    near = stored(ranked(searched(queries.withColumn("floor", F.lit(float("nan"))))).select("query_id", "mark", "vec_id", "score"))
-    floors = near.groupBy("query_id", "mark").agg(F.min("score").alias("worst"), F.count("*").alias("n")).select(F.col("query_id").alias("_id"), F.col("mark").alias("_mark"), F.when(F.col("n") == k, F.col("worst")).alias("_floor"))
-    rest = queries.join(floors, (F.col("query_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("query_id", "mark", "q", F.coalesce("_floor", F.lit(float("-inf"))).alias("floor"))
-    return ranked(near.union(searched(rest))).select("query_id", "rank", "vec_id", "score")
+    near = stored(ranked(searched(queries.withColumn("floor", F.lit(float("-inf"))), 0, 0)).drop("rank"))
+    before, upto = 0, FIRST * WIDER
+    while before < tree.leaves:
+        floors = near.groupBy("query_id", "mark").agg(F.min("score").alias("worst"), F.count("*").alias("n")).select(F.col("query_id").alias("_id"), F.col("mark").alias("_mark"), F.when(F.col("n") == k, F.col("worst")).alias("_floor"))
+        open_ = queries.join(floors, (F.col("query_id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left").select("query_id", "mark", "q", F.coalesce("_floor", F.lit(float("-inf"))).alias("floor"))
+        near = stored(ranked(near.union(searched(open_, before, upto))).drop("rank"))
+        before, upto = upto, upto * WIDER
+    return ranked(near).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
