@@ -89,10 +89,10 @@ def op_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(seen.get["rows_seen"], seen.get["last_key"])], "rows_seen long, last_key long")
 
 
-@query("j_broadcast_no_leftouter", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 100) AS o ON c_custkey = o_custkey")
+@query("j_broadcast_no_leftouter", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') AS o ON c_custkey = o_custkey")
 def j_broadcast_no_leftouter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A left join whose left side can't be broadcast: the hint gives way, the result stays."""
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderkey < 100")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     return join(c, o, Join([("c_custkey", "o_custkey")], "EQUI_LEFT", "BROADCAST", [("c_custkey", "c_custkey")], [("o_orderkey", "o_orderkey")]))
 
 
@@ -106,9 +106,9 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, change) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
-@query("sink_write_stream", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 300")
+@query("sink_write_stream", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice < 100000")
 def sink_write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, "orders", lambda s: s.where("o_custkey < 300").select("o_orderkey", "o_custkey"))
+    return _streamed(spark, sf_dir, "orders", lambda s: s.where("o_totalprice < 100000").select("o_orderkey", "o_custkey"))
 
 
 @query("scan_stream_reader", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")

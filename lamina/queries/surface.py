@@ -17,20 +17,20 @@ for _name, _sql in {
     "s_limit": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 17",
     "s_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 1000",
     "s_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
-    "s_nulls_first": "SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS f FROM lineitem ORDER BY f NULLS FIRST, l_orderkey, l_linenumber, l_partkey LIMIT 40",
-    "s_nulls_last": "SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS f FROM lineitem ORDER BY f DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey LIMIT 40",
-    "s_sort_const_keys": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderstatus, o_orderkey LIMIT 9",
-    "s_sort_union_transpose": "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier) AS u ORDER BY k DESC LIMIT 12",
-    "s_sort_join_transpose": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 12",
+    "s_nulls_first": "SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS f FROM lineitem ORDER BY f NULLS FIRST, l_orderkey, l_linenumber, l_partkey",
+    "s_nulls_last": "SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS f FROM lineitem ORDER BY f DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey",
+    "s_sort_const_keys": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderstatus, o_orderkey",
+    "s_sort_union_transpose": "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier) AS u ORDER BY k DESC",
+    "s_sort_join_transpose": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_union_all": "SELECT n_regionkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",
     "set_intersect": "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'",
     "set_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'",
-    "set_intersect_all": "SELECT o_orderpriority AS k FROM orders WHERE o_orderkey < 500 INTERSECT ALL SELECT o_orderpriority FROM orders WHERE o_orderkey BETWEEN 400 AND 700",
-    "set_except_all": "SELECT o_orderpriority AS k FROM orders WHERE o_orderkey < 700 EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderkey BETWEEN 400 AND 800",
+    "set_intersect_all": "SELECT o_orderpriority AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT ALL SELECT o_orderpriority FROM orders WHERE o_totalprice > 200000",
+    "set_except_all": "SELECT o_orderpriority AS k FROM orders EXCEPT ALL SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F'",
     "values": "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)",
     "table_function": "SELECT CAST(k AS BIGINT) AS k, count(*) AS n FROM nation, (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) AS r WHERE n_regionkey < k GROUP BY k",
-    "fn_arith": "SELECT o_orderkey, o_orderkey * 2 + 1 AS a, o_orderkey - o_custkey AS b, o_totalprice / 4 AS c, o_totalprice * 0.5 AS d FROM orders WHERE o_orderkey < 2000",
+    "fn_arith": "SELECT o_orderkey, o_orderkey * 2 + 1 AS a, o_orderkey - o_custkey AS b, o_totalprice / 4 AS c, o_totalprice * 0.5 AS d FROM orders",
     "fn_interval": "SELECT o_orderkey, CAST(o_orderdate + INTERVAL '3' DAY AS DATE) AS a, CAST(o_orderdate - INTERVAL '2' MONTH AS DATE) AS b, CAST(o_orderdate + INTERVAL '1' YEAR AS DATE) AS c FROM orders",
     "fn_extract_year": "SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY 1",
     "fn_extract_minute": "SELECT CAST(extract(minute FROM ts) AS BIGINT) AS m, count(*) AS n FROM events GROUP BY 1",
@@ -38,7 +38,7 @@ for _name, _sql in {
     "fn_like": "SELECT p_partkey FROM part WHERE p_type LIKE 'S%' OR p_type LIKE '%MO' OR p_brand LIKE '%and#1%' OR p_name LIKE '%1%5%'",
     "fn_not_like": "SELECT p_partkey FROM part WHERE p_type NOT LIKE '%A%' AND p_brand NOT LIKE 'Brand#2%'",
     "fn_case": "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS c, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END AS d FROM orders",
-    "fn_between": "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000 AND o_orderkey NOT BETWEEN 100 AND 200",
+    "fn_between": "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000 AND o_totalprice NOT BETWEEN 52000 AND 53000",
     "fn_in_list": "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderstatus NOT IN ('P')",
     "fn_scalar_subquery": "SELECT s_suppkey FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
     "fn_scalar_subquery_correlated": "SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)",
@@ -93,6 +93,6 @@ sql_query(
 )
 sql_query(
     "a_uncollect",
-    "SELECT vec_id, k, embedding[k] AS x FROM (SELECT vec_id, embedding, unnest(range(1, 4)) AS k FROM embeddings) AS t",
-    "SELECT vec_id, k, element_at(embedding, CAST(k AS INT)) AS x FROM (SELECT vec_id, embedding, explode(array(1L, 2L, 3L)) AS k FROM embeddings) AS t",
+    "SELECT vec_id, k, embedding[k] AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) AS t",
+    "SELECT vec_id, CAST(pos + 1 AS BIGINT) AS k, x FROM (SELECT vec_id, posexplode(embedding) AS (pos, x) FROM embeddings) AS t",
 )
