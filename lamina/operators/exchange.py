@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.workspace import stored
+
 
 def partition_of(keys: Sequence[str], n: int) -> Column:
     """0 to n - 1, equal for equal keys; never negative."""
@@ -31,3 +33,12 @@ def ranged(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
 def sorted_within(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Dealt out by key and sorted, as a merge join wants it."""
     return partitioned(df, keys, n).sortWithinPartitions(*keys)
+
+
+def exchanged(df: DataFrame, keys: Sequence[str], n: int, method: str = "stream") -> DataFrame:
+    """Rows dealt out by key: `stream` by Spark's own shuffle; `batch` through files in the folder that all executors
+    share, which stay when the executor that wrote them is lost. Both have the same rows."""
+    if method not in ("batch", "stream"):
+        raise ValueError(f"no such exchange: {method}")
+    dealt = partitioned(df, keys, n)
+    return stored(dealt) if method == "batch" else dealt

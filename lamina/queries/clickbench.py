@@ -18,6 +18,17 @@ for _name, _sql in {
     "cb_q09_group_distinct": "SELECT event_type, count(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY u DESC, event_type LIMIT 10",
     "cb_q10_group_many": f"SELECT event_type, {V} AS total, count(*) AS n, {V} / count(*) AS mean, count(DISTINCT user_id) AS u FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10",
     "cb_q11_distinct_top": "SELECT props, count(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY props ORDER BY u DESC, props LIMIT 10",
+    "cb_q12_distinct_top_two": "SELECT event_type, props, count(DISTINCT user_id) AS u FROM events WHERE props <> '' GROUP BY event_type, props ORDER BY u DESC, event_type, props LIMIT 10",
+    "cb_q14_distinct_phrase": "SELECT props, count(DISTINCT event_type) AS u FROM events WHERE props <> '' GROUP BY props ORDER BY u DESC, props LIMIT 10",
+    "cb_q17_top_pairs": "SELECT user_id, props, count(*) AS n FROM events GROUP BY user_id, props ORDER BY n DESC, user_id, props LIMIT 10",
+    "cb_q24_like_rows": "SELECT * FROM events WHERE props LIKE '%87%' ORDER BY ts, event_id LIMIT 10",
+    "cb_q26_order_phrase": "SELECT props, event_id FROM events WHERE props <> '' ORDER BY props, event_id LIMIT 10",
+    "cb_q32_group_fine_filter": f"SELECT event_id, event_type, count(*) AS c, {V} AS total FROM events WHERE props <> '' GROUP BY event_id, event_type ORDER BY c DESC, event_id, event_type LIMIT 10",
+    "cb_q33_group_fine": f"SELECT event_id, user_id, count(*) AS c, {V} AS total FROM events GROUP BY event_id, user_id ORDER BY c DESC, event_id, user_id LIMIT 10",
+    "cb_q34_group_long": "SELECT props, count(*) AS c FROM events GROUP BY props ORDER BY c DESC, props LIMIT 10",
+    "cb_q38_dates_not_null": "SELECT event_type, count(*) AS views FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND user_id <> 0 AND event_type <> '' GROUP BY event_type ORDER BY views DESC, event_type LIMIT 10",
+    "cb_q41_in_list": "SELECT props, CAST(ts AS DATE) AS d, count(*) AS views FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND event_type IN ('view', 'click') GROUP BY props, CAST(ts AS DATE) ORDER BY views DESC, props, d LIMIT 10 OFFSET 10",
+    "cb_q42_two_sizes": "SELECT user_id, CAST(length(event_type) AS BIGINT) AS w, count(*) AS views FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' GROUP BY user_id, length(event_type) ORDER BY views DESC, user_id, w LIMIT 10 OFFSET 10",
     "cb_q13_top_phrase": "SELECT props, count(*) AS c FROM events WHERE props <> '' GROUP BY props ORDER BY c DESC, props LIMIT 10",
     "cb_q15_two_keys": "SELECT event_type, props, count(*) AS c FROM events WHERE props <> '' GROUP BY event_type, props ORDER BY c DESC, event_type, props LIMIT 10",
     "cb_q16_top_users": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",

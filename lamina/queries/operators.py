@@ -393,3 +393,11 @@ def x_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s_sort_worker", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def s_sort_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.ranged(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"], 8)
+
+
+@query("x_batch_vs_stream", "SELECT o_custkey, n, m AS method FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) AS t, (SELECT 'batch' AS m UNION ALL SELECT 'stream') AS x")
+def x_batch_vs_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts above an exchange of either method."""
+    o = table(spark, sf_dir, "orders").select("o_custkey")
+    batch, stream = (exchange.exchanged(o, ["o_custkey"], 8, m).groupBy("o_custkey").agg(F.count("*").alias("n")).withColumn("method", F.lit(m)) for m in ("batch", "stream"))
+    return batch.unionByName(stream)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import stored, workspace
 from ..streaming import index, mvcc, txn
+from ..streaming.buffer import NotReady, WriteBuffer
 from ..streaming.cdc import VersionedTable, applied, current
 from ..types import schema_of
 from .registry import query, table
@@ -253,3 +254,51 @@ def idx_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, deletes = _logs(spark, sf_dir)
     live = current(rows.where("_commit_ts <= 3"), deletes.where("_end_ts <= 3"), ["o_orderkey"])
     return live.select("_row_id", "o_orderkey").join(rows.select("_row_id", "o_custkey"), "_row_id", "left").select("o_orderkey", "o_custkey")
+
+
+def _buffer(spark: SparkSession, sf_dir: str) -> WriteBuffer:
+    """Orders by status, in three appends with a flush after the second."""
+    o = table(spark, sf_dir, "orders").select(*_SCHEMA.names, "o_orderstatus")
+    out = WriteBuffer(spark, f"{workspace(spark)}/buffer", _SCHEMA, 1000).recover()
+    for ts, status in enumerate(("F", "O", "P")):
+        out.append(o.where(F.col("o_orderstatus") == status).drop("o_orderstatus"), ts)
+        if ts == 1:
+            out.flush()
+    return out
+
+
+@query("write_buffer", "SELECT o_orderkey, o_custkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS ts FROM orders")
+def write_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was appended, flushed or not, each row once."""
+    return _buffer(spark, sf_dir).read(hidden=True).select(*_SCHEMA.names, F.col("_commit_ts").alias("ts"))
+
+
+@query("write_buffer_files", "WITH n AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS file FROM orders), f AS (SELECT count(*) // 1000 AS flushed FROM orders WHERE o_orderstatus IN ('F', 'O')) SELECT CAST(file AS BIGINT) AS file, count(*) AS rows, file < max(flushed) AS flushed FROM n, f GROUP BY file")
+def write_buffer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense row numbers fill files of 1000 rows; the full ones are flushed."""
+    return _buffer(spark, sf_dir).files().withColumnRenamed("_file", "file")
+
+
+@query("retina_state", "SELECT * FROM (VALUES (0, 'opened', 'RECOVERING'), (1, 'append', 'NotReady'), (2, 'recovered', 'READY'), (3, 'failed append', 'FAILED'), (4, 'append', 'NotReady'), (5, 'recovered', 'READY')) AS t(step, what, state)")
+def retina_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A buffer takes rows only between a recovery and a failure."""
+    good = table(spark, sf_dir, "orders").select(*_SCHEMA.names)
+    bad = good.withColumn("o_custkey", F.raise_error(F.lit("broken row")).cast("long"))
+    out, seen = WriteBuffer(spark, f"{workspace(spark)}/buffer", _SCHEMA, 1000), []
+
+    def tried(what: str, rows: DataFrame) -> None:
+        try:
+            out.append(rows, 1)
+            seen.append((what, out.state))
+        except NotReady:
+            seen.append((what, "NotReady"))
+        except Exception:
+            seen.append((what, out.state))
+
+    seen.append(("opened", out.state))
+    tried("append", good)
+    seen.append(("recovered", out.recover().state))
+    tried("failed append", bad)
+    tried("append", good)
+    seen.append(("recovered", out.recover().state))
+    return spark.createDataFrame([(k, *x) for k, x in enumerate(seen)], "step int, what string, state string")

@@ -142,8 +142,7 @@ def cli_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(3):
         manifest.append(n.where(F.col("n_nationkey") % 3 == k))
     small = list(manifest.files())
-    manifest.read().coalesce(1).write.parquet(f"{place}/large")
-    sinks.compact(spark, f"{place}/large", f"{place}/compact")
+    sinks.compact(spark, small, f"{place}/compact")
     manifest.swap(small, [f"{place}/compact"])
     manifest.clean()
     return manifest.read().withColumn("files", F.lit(len(manifest.files())))

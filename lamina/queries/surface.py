@@ -21,6 +21,7 @@ for _name, _sql in {
     "s_nulls_last": "SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS f FROM lineitem ORDER BY f DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey",
     "s_sort_const_keys": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderstatus, o_orderkey",
     "s_sort_union_transpose": "SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier) AS u ORDER BY k DESC",
+    "s_sort_project_transpose": "SELECT o_orderkey, k * 2 AS d FROM (SELECT o_orderkey, o_custkey + 1 AS k FROM orders) AS t ORDER BY k DESC, o_orderkey",
     "s_sort_join_transpose": "SELECT o_orderkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey",
     "set_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "set_union_all": "SELECT n_regionkey AS k, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region",

@@ -147,3 +147,32 @@ sql_query(
 SELECT substring(c_name FROM 10 FOR 2) AS cntrycode, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)
 AND NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1999-06-01')) AS custsale GROUP BY cntrycode""",
 )
+
+#: There is no table of what suppliers offer: who has sold a part offers it, at the least price seen, with all sold as stock.
+OFFERS = """WITH partsupp AS (SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, min(l_extendedprice) AS ps_supplycost, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS ps_availqty
+FROM lineitem GROUP BY l_partkey, l_suppkey)"""
+_COST = money("ps_supplycost * ps_availqty")
+sql_query(
+    "tpch_q2",
+    f"""{OFFERS}
+SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part, supplier, partsupp, nation, region
+WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size <= 15 AND p_type LIKE '%O%' AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
+AND ps_supplycost = (SELECT min(ps_supplycost) FROM partsupp, supplier, nation, region
+WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE')
+ORDER BY s_acctbal DESC, n_name, s_name, p_partkey LIMIT 100""",
+)
+sql_query(
+    "tpch_q9",
+    f"""{OFFERS}
+SELECT nation, o_year, {money("amount")} AS sum_profit FROM (
+SELECT n_name AS nation, CAST(extract(year FROM o_orderdate) AS BIGINT) AS o_year, l_extendedprice * (1 - l_discount) - ps_supplycost AS amount
+FROM part, supplier, lineitem, partsupp, orders, nation
+WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey
+AND p_type LIKE '%O%') AS profit GROUP BY nation, o_year""",
+)
+sql_query(
+    "tpch_q11",
+    f"""{OFFERS}
+SELECT ps_partkey, {_COST} AS value FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7'
+GROUP BY ps_partkey HAVING {_COST} > (SELECT {_COST} * 0.001 FROM partsupp, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7')""",
+)

@@ -32,9 +32,10 @@ def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], n: int, mode:
     df.write.mode(mode).bucketBy(n, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
 
 
-def compact(spark: SparkSession, source: str, target: str, files: int = 1, columns: Sequence[str] = ()) -> None:
-    """The rows of many small files in `files` larger ones, without an exchange. columns: an order of columns."""
-    df = spark.read.parquet(source)
+def compact(spark: SparkSession, source: str | Sequence[str], target: str, files: int = 1, columns: Sequence[str] = ()) -> None:
+    """The rows of many small files, of one folder or several, in `files` larger ones, without an exchange. columns: an
+    order of columns."""
+    df = spark.read.parquet(*([source] if isinstance(source, str) else source))
     df = df.select(*columns, *[c for c in df.columns if c not in columns]) if columns else df
     df.coalesce(files).write.mode("overwrite").parquet(target)
 

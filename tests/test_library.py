@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +139,31 @@ def test_planner_swaps_sides(spark):
         assert got.columns == ["c", "n"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
 
 
+def test_splits_to_the_nearest_power_of_two():
+    for size, split in ((128 / 14.5, 16), (128 / 12, 16), (128 / 11.9, 8), (128 / 8, 8), (1, 64), (128, 1), (1000, 1), (0, 64)):
+        assert layout.cost_based_split({"a": size}, ["a"], 128, 64) == split
+
+
+def test_cache_choices_are_exact():
+    """Against all sets of columns, on small workloads."""
+    r = random.Random(3)
+    for _ in range(60):
+        names = [("t", c) for c in "abcdef"]
+        sizes = {c: r.randint(1, 6) for c in names}
+        loads = [placement.Load(frozenset(r.sample(names, r.randint(1, 4))), r.randint(1, 5), r.randint(1, 9)) for _ in range(r.randint(0, 20))]
+        budget = r.randint(0, 14)
+        sets = [set(c) for n in range(7) for c in itertools.combinations(names, n) if sum(sizes[x] for x in c) <= budget]
+        for choose, value in ((placement.most_coverage, lambda q: 1), (placement.cost_optimal, lambda q: q.cost * q.frequency)):
+            worth = lambda held: sum(value(q) for q in loads if q.columns <= held)  # noqa: B023, E731
+            got = choose(loads, sizes, budget)
+            assert sum(sizes[x] for x in got) <= budget and worth(got) == max(map(worth, sets))
+
+
+def test_rate_greedy_takes_columns():
+    loads = [placement.Load(frozenset({("t", "a"), ("t", "b")}), 4), placement.Load(frozenset({("t", "c")}), 3)]
+    assert placement.rate_greedy(loads, {("t", "a"): 1, ("t", "b"): 8, ("t", "c"): 2}, 4) == {("t", "a"), ("t", "c")}
+
+
 def test_placement():
     assert placement.place({"t": ["a"]}, {"p": {"t": ["b"]}, "q": {"t": ["a", "b"]}}) == "q"
     loads = [placement.Load(frozenset({("t", c)}), 1, v) for c, v in (("a", 6), ("b", 5), ("c", 5))]

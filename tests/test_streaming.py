@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.streaming import index, mvcc
+from lamina.streaming.buffer import NotReady, WriteBuffer
 from lamina.streaming.cdc import MissingKey, Overtaken, VersionedTable
 from lamina.streaming.txn import LeaseExpired, Transactions
 from lamina.types import schema_of
@@ -230,3 +231,32 @@ def test_record_batches(spark):
     assert [b.num_rows for b in got] == [10] * 10 + [3] and [x for b in got for x in b.column("id").to_pylist()] == list(range(103))
     assert [x for b in batches(df, 50, skip=27) for x in b.column("s").to_pylist()] == [str(k) for k in range(27, 103)]
     assert list(batches(df.limit(0), 5)) == []
+
+
+def test_write_buffer(spark, tmp_path):
+    """Rows are numbered densely across batches, straddle files, and are read once, before and after flushes, by a
+    reader who opens the folder anew, and after a batch that failed."""
+    schema = schema_of("k:bigint")
+    path = str(tmp_path / "b")
+    out = WriteBuffer(spark, path, schema, 10)
+    with pytest.raises(NotReady):
+        out.append(spark.range(1).toDF("k"), 0)
+    out.recover()
+    begin = 0
+    for ts, n in enumerate((7, 0, 8, 25)):
+        out.append(spark.range(begin, begin + n, 1, 3).toDF("k"), ts)
+        begin += n
+        before = sorted(map(tuple, out.read(hidden=True).select("k", "_row_id", "_file", "_offset", "_commit_ts").collect()))
+        out.flush()
+        again = WriteBuffer(spark, path, schema, 10).recover()
+        assert before == sorted(map(tuple, again.read(hidden=True).select("k", "_row_id", "_file", "_offset", "_commit_ts").collect()))
+        assert [r[0] for r in before] == list(range(begin)) and sorted(r[1] for r in before) == list(range(begin))
+        assert all(r[2] * 10 + r[3] == r[1] for r in before)
+    assert out.flush() == 0 and all(r["flushed"] for r in out.files().collect())
+    bad = spark.range(3).select(F.when(F.col("id") > 0, F.raise_error(F.lit("x")).cast("long")).alias("k"))
+    with pytest.raises(Exception):
+        out.append(bad, 9)
+    assert out.state == "FAILED" and out.read().count() == begin
+    with pytest.raises(NotReady):
+        out.flush()
+    assert out.recover().state == "READY" and out.read().count() == begin
