@@ -363,3 +363,24 @@ def test_pipeline_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001")
     assert docs.count() == 0
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and columns with clashing names pass all stages."""
+    long = " ".join(f"w{k % 977}x{k % 13}" for k in range(120_000))
+    texts = [None, "", " ", "\n\n\t", "plain words of no interest to anyone at all", long, long, "line one has more than ten words in it so that it is a window\n" * 3]
+    rows = [(k, x, "en", "s", len(x or "")) for k, x in enumerate(texts)] + [(None, "a null id", None, None, None), (None, None, None, None, None), (4, texts[4], "en", "s", 44), (4, texts[4], "en", "s", 44)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("_row", F.lit("clash")).withColumn("_p", F.lit("x")).withColumn("class_id", F.lit(1)).withColumn("kept", F.lit(False))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == columns
+    left = docs.collect()
+    got = {}
+    for r in left:
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert 0 not in got or got[0] == [None]
+    assert sum(len(x) for x in got.values()) == len(left) <= len(rows)
+    assert len(got.get(4, [])) <= 1 and len(got.get(5, []) + got.get(6, [])) <= 1
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in pieces} == set(got)

@@ -288,6 +288,49 @@ def test_site_shrinkage(spark):
     assert got["bad"] < 0.2 and 0.4 < got["rare"] < 0.7
 
 
+def brute_posteriors(rows):
+    """(host, path, p) of every document to its posterior, document by document: the share of good ones among the
+    path's others, shrunk toward its host and that toward all, by beta priors of the method of moments."""
+
+    def strength(groups):
+        """groups: (probabilities, prior)."""
+        n, k = sum(len(g) for g, _ in groups), len(groups)
+        within = sum(max(0.0, sum(x * x for x in g) - sum(g) ** 2 / len(g)) for g, _ in groups) / max(1, n - k)
+        between = sum(len(g) * (sum(g) / len(g) - m) ** 2 for g, m in groups) - within * k
+        return min(1e4, max(2.0, sum(len(g) * m * (1 - m) for g, m in groups) / max(1, n) / max(1e-6, between / max(1, n)) - 1))
+
+    hosts, paths = {}, {}
+    for h, t, p in rows:
+        hosts.setdefault(h or "", []).append(p)
+        paths.setdefault((h or "", t or ""), []).append(p)
+    mean = min(max(sum(p for *_, p in rows) / len(rows), 1e-4), 1 - 1e-4)
+    strong = strength([(g, mean) for g in hosts.values()])
+    prior = {h: (sum(g) + strong * mean) / (len(g) + strong) for h, g in hosts.items()}
+    narrow = strength([(g, prior[h]) for (h, _), g in paths.items()])
+    out = []
+    for h, t, p in rows:
+        own = paths[h or "", t or ""]
+        site = min(1 - 1e-4, max(1e-4, (sum(own) - p + narrow * prior[h or ""]) / (len(own) - 1 + narrow)))
+        odds = max(1e-9, p) / max(1e-9, 1 - p) * site / (1 - site) * (1 - mean) / mean
+        out.append(odds / (1 + odds))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_site_quality_against_brute_force(spark, odd, seed):
+    """Every posterior and verdict, with null and sparse sites, equal rows and a site that holds a third."""
+    r, docs = random.Random(seed), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = site_quality.document_model(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = [x.text for x in docs.select("text").limit(60).collect()]
+    rows = [(i, r.choice([*texts, None, "", "word " * 3000]), r.choice(["en", None, "", "de"]), r.choice(["hot", *(f"s{k}" for k in range(8)), None]) if i % 3 else "hot", 0) for i in range(240)]
+    own = spark.createDataFrame(rows + rows[:5], DOCS).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    got = site_quality.judged(own, model).collect()
+    want = brute_posteriors([(x.host, x.path, x.evidence) for x in got])
+    assert len(got) == own.count() and np.allclose([x.posterior for x in got], want, rtol=1e-7, atol=1e-9)
+    assert [x.kept for x in got] == [x.posterior >= site_quality.THRESHOLD for x in got]
+    assert sorted(map(str, (x.doc_id for x in got if x.kept))) == sorted(str(x.doc_id) for x in site_quality.kept(own, model).collect())
+
+
 def brute_url(url, rules, default="allow"):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     host = path = ""
