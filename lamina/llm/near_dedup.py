@@ -224,12 +224,11 @@ def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, keys: list[str], *figures: str) -> DataFrame:
-    """Of rows (node, keys, element, figures), each node's elements as `all`, in order of how few nodes have them, and
-    `alone`, how many no other node has."""
+    """Of rows (node, keys, element, figures), each node's elements as `all`, in order of how few nodes have them."""
     common = rows.groupBy(*keys).agg(F.count("*").alias("df")).select(apart(F.struct(*keys)).alias("_key"), *[F.col(k).alias(f"_k_{k}") for k in keys], "df")
     on = (F.col("_own") == F.col("_key")) & reduce(lambda p, q: p & q, [F.col(k) == F.col(f"_k_{k}") for k in keys])
     counted = rows.withColumn("_own", apart(F.struct(*keys))).join(common.hint("merge"), on)
-    return counted.groupBy("node").agg(*[F.first(f).alias(f) for f in figures], F.count_if(F.col("df") == 1).alias("alone"), F.array_sort(F.collect_list(F.struct("df", "element"))).alias("all"))
+    return counted.groupBy("node").agg(*[F.first(f).alias(f) for f in figures], F.array_sort(F.collect_list(F.struct("df", "element"))).alias("all"))
 
 
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -245,8 +244,10 @@ def _rest(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     Of two nodes with the same home, one is a stray, and their differences from the home are compared. The difference
     of two sets is that of their differences from a third; a stray's is large, so that it must share much of it with
     any node that it is similar to. Of the many copies of a text that each have words of their own, no pair is made,
-    since their differences have those words first. Pairs of different homes, or without, are compared by all elements,
-    those that no other node has counting against them."""
+    since their differences have those words first. Pairs of different homes, or without, are compared by all elements.
+    A pair's first common element stands where what is left of both sets, from it on, still overlaps enough; copies that
+    meet only in later ones are no pair, whatever their homes. In the smaller set that is a place among the first ninth,
+    before most of the elements that many copies share."""
     share = (1 - SIMILARITY) / (1 + SIMILARITY)  # similar sets of n and m elements differ in share * (n + m) at most
     near = nodes.where("home is not null and home <> node").select(F.col("node").alias("a"), F.col("home").alias("b"))
     rows = stored(_differences(near, texts).withColumnsRenamed({"a": "node", "b": "home"}))
@@ -266,12 +267,14 @@ def _rest(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     rows = stored(_elements(texts.join(nodes.select("node").hint("merge"), "node")))
     ranked = _ranked(rows, ["element"], "n")
-    first = ranked.select("node", "n", "alone", F.explode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).cast("int"))).alias("at"))
-    x, y = _sides(stored(first.select("node", "n", "alone", F.col("at.element").alias("element")).join(nodes.hint("merge"), "node")))
-    over = F.least(F.col("n_x") - F.col("alone_x"), F.col("n_y") - F.col("alone_y"))
+    first = ranked.select("node", "n", F.posexplode(F.slice("all", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILARITY - 1e-9) + 1).cast("int"))).alias("at", "e")).where("e.df > 1")
+    x, y = _sides(stored(first.select("node", "n", "at", F.col("e.element").alias("element")).join(nodes.hint("merge"), "node")))
+    over = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
     able = over >= SIMILARITY * (F.col("n_x") + F.col("n_y") - over) - 1e-9
     other = ~F.coalesce(F.col("home_x") == F.col("home_y"), F.lit(False))
-    two = x.join(y, (F.col("element_x") == F.col("element_y")) & (F.col("label_x") != F.col("label_y")) & (F.col("node_x") < F.col("node_y")) & other & able).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    x = x.where(F.col("at_x") < F.col("n_x") - F.ceil(F.col("n_x") * (1 - share) - 1e-9) + 1)
+    smaller = F.struct("n_x", "node_x") < F.struct("n_y", "node_y")
+    two = x.join(y, (F.col("element_x") == F.col("element_y")) & (F.col("label_x") != F.col("label_y")) & smaller & other & able).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
     return _similar(one.union(two).distinct(), texts).select("a", "b")
 
 

@@ -159,6 +159,31 @@ def test_near_dedup_many_copies(spark):
     assert [r.class_id for r in got] == brute_classes(rows)
 
 
+def test_near_dedup_different_homes(spark, monkeypatch):
+    """Many copies of one text, whose edits are others' too and whose homes differ: all links, and few pairs for them."""
+    rng = random.Random(4)
+    texts = []
+    for i in range(150):
+        own = [f"b{k}" for k in range(120)]
+        for k in rng.sample(range(120), 1 if i < 30 else 10):
+            own[k] = f"z{k}x{rng.randrange(2)}"
+        texts.append(" ".join(own))
+    sets = [Counter(tuple(t.split()[k : k + 5]) for k in range(116)) for t in texts]
+    overlap = {(i, j): sum((sets[i] & sets[j]).values()) for j in range(150) for i in range(j)}
+    nodes = spark.createDataFrame([(i, i, None if i % 3 else i, True) for i in range(150)], "node long, label long, home long, stray boolean")
+    similar, tried = near_dedup._similar, []
+
+    def counted(pairs, *more):
+        tried.append(pairs.count())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "_similar", counted)
+    got = near_dedup._rest(nodes, spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()
+    want = {p for p, both in overlap.items() if both / (232 - both) >= 0.8}
+    assert len(want) > 50 and sum(tried) < 800  # 1,246 if places do not count
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.deduplicated(frame(spark, [])).count() == 0
     assert near_dedup.deduplicated(frame(spark, [(1, None)])).count() == 1
