@@ -15,7 +15,7 @@ from .registry import query, table
 
 #: A change log of orders: all are inserted at 1; at 2, those with o_orderkey % 10 = 3 are updated (price + 1); at 3,
 #: those with % 10 = 4 are deleted, and keys that are not there (negative ones), which does nothing; at 4, those with
-#: % 20 = 4 are inserted again.
+#: % 20 = 4 are inserted again. Beyond a million keys `seq` comes again at another timestamp, which events may.
 _KEEP = "o_orderkey, o_custkey, o_totalprice"
 _CHANGES = f"""
 SELECT 'INSERT' AS op, CAST(1 AS BIGINT) AS ts, o_orderkey AS seq, {_KEEP} FROM orders

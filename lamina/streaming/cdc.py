@@ -1,9 +1,10 @@
 """Applying change events to multiversion tables, in batches or from a stream.
 
-An event has `op` (INSERT, UPDATE, DELETE, SNAPSHOT), `ts` (its transaction's timestamp), `seq` (its place in the batch,
-never twice) and the table's columns. At one timestamp deletes come first, then inserts, then updates. A delete of a key
-that isn't there does nothing; an update of one raises, before anything is written; an insert isn't checked unless
-`strict` is set. Null is null, an empty text is an empty text."""
+An event has `op` (INSERT, UPDATE, DELETE, SNAPSHOT), `ts` (its transaction's timestamp), `seq` (its place among the
+batch's events of that timestamp; never twice among its inserts, nor among its updates) and the table's columns. At one
+timestamp deletes come first, then inserts, then updates. A delete of a key that isn't there does nothing; an update of
+one raises, before anything is written; an insert isn't checked unless `strict` is set. Null is null, an empty text is
+an empty text."""
 
 from __future__ import annotations
 
@@ -45,7 +46,8 @@ def sequenced(batch: DataFrame, live: DataFrame, key: Sequence[str], columns: Se
     All events of a key, whatever their timestamps, stand in one sequence after the key's current row. A row that an
     insert or update makes is ended by the next event of its key, if that is a delete or an update. So one window over
     each key does the work of going through the batch in order."""
-    events = batch.select(*key, *[c for c in columns if c not in key], F.col("op").alias("_op"), F.col("ts").cast("long").alias("_ts"), _phase(F.col("op")).alias("_phase"), F.col("seq").cast("long").alias("_seq"), F.concat(F.lit(f"{commit}-"), F.col("seq").cast("string")).alias("_row_id"))
+    events = batch.select(*key, *[c for c in columns if c not in key], F.col("op").alias("_op"), F.col("ts").cast("long").alias("_ts"), _phase(F.col("op")).alias("_phase"), F.col("seq").cast("long").alias("_seq"))
+    events = events.withColumn("_row_id", F.concat(F.lit(f"{commit}-"), F.col("_ts").cast("string"), F.lit("-"), F.col("_phase").cast("string"), F.lit("-"), F.col("_seq").cast("string")))
     touched = live.join(events.select(*key).distinct(), list(key), "left_semi")
     before = touched.select(*key, F.lit("LIVE").alias("_op"), F.col(COMMIT_TS).alias("_ts"), F.lit(-1).alias("_phase"), F.lit(-1).cast("long").alias("_seq"), F.col("_row_id").cast("string"))
     line = Window.partitionBy(*key).orderBy(F.when(F.col("_op") == "LIVE", 0).otherwise(1), "_ts", "_phase", "_seq")

@@ -260,3 +260,13 @@ def test_write_buffer(spark, tmp_path):
     with pytest.raises(NotReady):
         out.flush()
     assert out.recover().state == "READY" and out.read().count() == begin
+
+
+def test_seq_comes_again_at_other_timestamps(spark, tmp_path):
+    """Places count within a timestamp and a phase: a deleted row takes no other with it."""
+    t = versioned(spark, tmp_path / "t")
+    log = [("INSERT", 1, 0, 1, "a"), ("INSERT", 1, 1, 2, "b"), ("DELETE", 2, 0, 1, None), ("INSERT", 2, 0, 3, "c"), ("UPDATE", 2, 0, 2, "d")]
+    assert t.apply(spark.createDataFrame([(*x, "mine") for x in log], EVENTS), 0)
+    assert len({r[0] for r in t.rows().select("_row_id").collect()}) == 4
+    assert sorted(map(tuple, t.snapshot(1).collect())) == [(1, "a", "mine"), (2, "b", "mine")]
+    assert sorted(map(tuple, t.snapshot(2).collect())) == [(2, "d", "mine"), (3, "c", "mine")]
