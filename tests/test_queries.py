@@ -61,7 +61,7 @@ def far_apart(tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", ["idx_cache", "mvcc_delete_modes", "mvcc_export_import_chain", "mvcc_memory_gc", "mvcc_snapshot", "scan_buffer", "scan_expose_hidden", "scan_snapshot", "storage_gc_dual_write"])
+@pytest.mark.parametrize("name", ["idx_cache", "mvcc_delete_modes", "mvcc_export_import_chain", "mvcc_memory_gc", "mvcc_snapshot", "scan_buffer", "scan_expose_hidden", "scan_snapshot", "storage_gc_dual_write", "write_buffer_read"])
 def test_keys_far_apart(spark, far_apart, name):
     """An update's or a later insert's `seq` may be that of another order's first insert."""
     c = duckdb.connect()
